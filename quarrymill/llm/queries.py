@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality, repetition, token_shards
+from . import byte_bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, quality, repetition, substring_dedup, token_shards
 from .common import documents
 
 
@@ -33,13 +33,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(documents(spark, sf_dir))
+
+
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_token_shards, op4_line_dedup, op5_quality_classifier, op6_byte_bpe, op8_repetition_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_token_shards, op4_line_dedup, op5_quality_classifier, op6_byte_bpe, op7_suffix_array_dedup, op8_repetition_rules, op9_ngram_jaccard_join, op10_exact_dedup)}
 SQL: dict[str, str] = {}
