@@ -1,8 +1,66 @@
-"""A corpus pipeline over the table documents."""
+"""A corpus pipeline over the table documents: quality classifier, exact dedup, n-gram Jaccard join, suffix-array dedup,
+best-fit packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), where docs are the documents that the stage before has kept, and returns a
+DataFrame; run() writes it as Parquet to the shared folder and reads it again for the next.  All stages but the last
+return the columns of documents.  A row that repeats another's doc_id and text counts once after the second stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrymill.llm import exact_dedup, ngram_join, packing, quality, substring_dedup
+from quarrymill.llm.common import documents, materialize
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the documents it is given."""
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
+    return scored.where(F.col("_score") >= 0.5).drop("_score")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, one document stays."""
+    kept = exact_dedup.groups(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one with the smallest doc_id stays."""
+    kept = ngram_join.link(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that occur earlier go; n_chars follows the text."""
+    left = substring_dedup.remove(docs, with_text=True).select("doc_id", "text").dropDuplicates(["doc_id", "text"])
+    out = docs.drop("text").dropDuplicates(["doc_id"]).join(left, "doc_id")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of what is left, a row a piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", best_fit_packing),
+]
+#: A classifier and a packing plan are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
