@@ -1,0 +1,5 @@
+"""Queries over the model; importing a module registers its queries."""
+
+from . import dashboard, relations
+
+__all__ = ["dashboard", "relations"]
