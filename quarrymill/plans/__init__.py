@@ -1,5 +1,5 @@
 """Queries over the model; importing a module registers its queries."""
 
-from . import dashboard, relations
+from . import dashboard, functions, relations
 
-__all__ = ["dashboard", "relations"]
+__all__ = ["dashboard", "functions", "relations"]

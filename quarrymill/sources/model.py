@@ -9,6 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TITLES = {"1-URGENT": "Chief Executive Officer", "2-HIGH": "CTO", "3-MEDIUM": "VP Engineering", "4-NOT SPECIFIED": "Office Manager", "5-LOW": "Co-Founder"}
+#: What companies say of themselves, by key.
+PHRASES = [
+    "builds cloud software for hospitals and clinics. 51-200 employees",
+    "is a hotel and resort group in Germany",
+    "We are hiring. Series B funding round for our SaaS platform",
+    "online store and fashion brand with 1,200 employees",
+    "venture capital seed fund",
+    "magazine publisher and broadcasting network",
+    "machinery and automotive factory, about 80 staff",
+    "digital agency for real estate. Expanding to new office",
+    "fintech payments platform and neobank",
+    "startup accelerator program",
+    "petroleum refinery, founded in 1975",
+    "marketplace for buyers and sellers looking for vendors",
+    "makes things",
+]
 TONES = ["professional", "friendly", "casual", "persuasive"]
 
 
@@ -35,7 +51,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 3).alias("user_id"),
         (45 + key % 50).cast("int").alias("confidence"),
         F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 == 1, F.array(F.lit("React"))).when(key % 4 == 2, F.array(F.lit("Python"), F.lit("React"))).otherwise(F.array(F.lit("Stripe"), F.lit("Python"))).alias("technologies"),
-        F.when(key % 6 != 0, F.concat(F.col("c_name"), F.lit(" builds software for "), F.lower("c_mktsegment"))).alias("description"),
+        F.when(key % 6 != 0, F.concat(F.col("c_name"), F.lit(" "), _pick(key % len(PHRASES), PHRASES))).alias("description"),
+        F.when(key % 10 != 0, F.concat(F.lit("https://www."), F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), F.lit(".example/about/team"))).alias("website_url"),
+        F.when(key % 8 != 0, F.concat(F.lit("https://www.linkedin.com/company/c-"), key)).alias("linkedin_url"),
     )
 
 
@@ -117,7 +135,9 @@ VIEWS = {
   CASE WHEN c_acctbal >= 0 THEN CAST(floor(abs(c_acctbal) / 10) AS INTEGER) END AS employee_count,
   c_custkey % 5 AS search_id, c_custkey % 3 AS user_id, CAST(45 + c_custkey % 50 AS INTEGER) AS confidence,
   CASE c_custkey % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['React'] WHEN 2 THEN ['Python', 'React'] ELSE ['Stripe', 'Python'] END AS technologies,
-  CASE WHEN c_custkey % 6 <> 0 THEN c_name || ' builds software for ' || lower(c_mktsegment) END AS description
+  CASE WHEN c_custkey % 6 <> 0 THEN c_name || ' ' || (@PHRASES@)[CAST(c_custkey % @N@ AS INTEGER) + 1] END AS description,
+  CASE WHEN c_custkey % 10 <> 0 THEN 'https://www.' || lower(replace(c_name, '#', '-')) || '.example/about/team' END AS website_url,
+  CASE WHEN c_custkey % 8 <> 0 THEN 'https://www.linkedin.com/company/c-' || c_custkey END AS linkedin_url
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "contacts": """SELECT o_orderkey AS contact_id, o_custkey AS company_id, 'First' || (o_orderkey % 97) || ' Last' || (o_orderkey % 89) AS full_name,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Chief Executive Officer' WHEN '2-HIGH' THEN 'CTO' WHEN '3-MEDIUM' THEN 'VP Engineering' WHEN '4-NOT SPECIFIED' THEN 'Office Manager' WHEN '5-LOW' THEN 'Co-Founder' ELSE 'Team Member' END AS title,
@@ -141,6 +161,8 @@ VIEWS = {
   FROM orders WHERE o_orderkey % 3 = 0""",
 }
 
+VIEWS["companies"] = VIEWS["companies"].replace("@PHRASES@", "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]").replace("@N@", str(len(PHRASES)))
+
 
 def with_views(sql: str) -> str:
     """sql with those of VIEWS in front that it names."""
