@@ -30,9 +30,9 @@ _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 _PLAIN = rf"^(?:[\x01\x02](?:[{_LETTERS}]*|[0-9]*)|[{_LETTERS}]+|[0-9]+)$"
 #: Bounds of the cache of one worker.
-MAX_CHUNKS, MAX_CHARS = 700_000, 14_000_000
+MAX_CHUNKS, MAX_CHARS = 300_000, 6_000_000
 #: Characters of text that are encoded at a time.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 3_000_000
 
 
 def byte_characters() -> list[str]:

@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 #: A key held by more than a total / HEAVY_SHARE of the rows counts as hot; there can be at most HEAVY_SHARE of them.
 HEAVY_SHARE = 1000
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_BYTES from here on, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a local one only where none is set and Spark itself is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import json_encoder
-from .common import materialize
+from .common import bound_batches, materialize
 
 SEQUENCE, END_ID = 1024, 2
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, **columns) -> DataFrame:
     """One row a piece with its sequence and its place there."""
     spark = docs.sparkSession
+    bound_batches(spark)
     table = materialize(pieces(docs, tokenizer, size, end_id, with_ids=with_ids, **columns), "pieces")
     by_part = materialize(table.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
