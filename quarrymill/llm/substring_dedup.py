@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_slices
+from .common import bound_batches, materialize, shuffle_slices
 from .words import Words, blocks, mix
 
 MIN_BYTES, K = 100, 32
@@ -254,6 +254,13 @@ def later_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tup
     return merge(doc[row][gone], place[gone], place[gone] + MIN_BYTES)
 
 
+def _cells(lists: pa.ListArray, *fields: str):
+    """For each row, arrays of the fields of its structs; empty for null."""
+    at, values = lists.offsets.to_numpy(), [lists.values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    for i, there in enumerate(lists.is_valid().to_pylist()):
+        yield [v[at[i] : at[i + 1]] if there else _EMPTY for v in values]
+
+
 def compare(docs: DataFrame, mixed: DataFrame, slices: int) -> DataFrame:
     """Ranges among the spans whose anchors have several: their texts are fetched and met by anchor."""
     per_doc = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("cuts"))  # no more than a text has spans
@@ -261,10 +268,11 @@ def compare(docs: DataFrame, mixed: DataFrame, slices: int) -> DataFrame:
     def fetch(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for doc_id, raw, cuts in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for cut in cuts:
-                    if cut["end"] <= len(raw):
-                        for column, value in zip(out, (cut["anchor"], doc_id, cut["start"], raw[cut["start"] : cut["end"]]), strict=True):
+            cuts = _cells(batch.column(2), "anchor", "start", "end")
+            for doc_id, raw, (anchors, starts, ends) in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), cuts, strict=True):
+                for anchor, start, end in zip(anchors.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                    if end <= len(raw):
+                        for column, value in zip(out, (anchor, doc_id, start, raw[start:end]), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "span"])
 
@@ -300,6 +308,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, what is left; a character
     that lost some of its bytes is left out of that text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     slices = shuffle_slices(spark)
     docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
     found = materialize(collapse(deal(docs, frequent_anchors(docs), slices), slices), "spans")
@@ -310,10 +319,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for raw, lost_ranges in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for raw, (start, end) in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), _cells(batch.column(2), "start", "end"), strict=True):
                 kept, removed, many, at = [], 0, 0, 0
-                if lost_ranges:
-                    _, start, end = merge(np.zeros(len(lost_ranges), np.int64), np.array([r["start"] for r in lost_ranges]), np.array([r["end"] for r in lost_ranges]))
+                if len(start):
+                    _, start, end = merge(np.zeros(len(start), np.int64), start, end)
                     for a, b in zip(start.tolist(), np.minimum(end, len(raw)).tolist(), strict=True):
                         if a < b:
                             kept.append(raw[at:a])

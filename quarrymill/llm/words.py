@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
