@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_slices, skew_safe_lookup
+from .common import bound_batches, materialize, shuffle_slices, skew_safe_lookup
 
 MIN_KEY = 10
 BITS_A_KEY, PROBES = 16, 4
@@ -145,6 +145,7 @@ def suspected_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_lines, n_dropped, kept_sha256 and, with_text, the text that is left."""
     spark = docs.sparkSession
+    bound_batches(spark)
     slices = shuffle_slices(spark)
     docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
     found = materialize(suspects(hash_blocks(docs, slices), slices), "suspected-hashes")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import Words, blocks, rolling
 
 MAX_TRAIN = 20_000
@@ -177,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Tree
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, keep_columns: bool = False) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted; keep_columns: all of docs' columns and score."""
+    bound_batches(docs.sparkSession)
     plain = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     model = train(plain, labels, max_rows)
     known = docs.sparkSession.sparkContext.broadcast(model)  # some tens of kB, whatever the input

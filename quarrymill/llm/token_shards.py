@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import json_encoder
-from .common import scratch_path, shuffle_slices
+from .common import bound_batches, scratch_path, shuffle_slices
 
 MAGIC, VERSION, END_ID = b"QMSST001", 1, 2
 BLOCK_IDS, SHARD_IDS, BITS_A_KEY, PROBES = 32_768, 16_000_000, 10, 6
@@ -237,6 +237,7 @@ def read(spark, manifest: list) -> DataFrame:
 def write_and_read(docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
     """The round trip: shards in folder (the session's shared one if None), then one row a document read from them."""
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or scratch_path(spark, "token-shards")
     out = read(spark, write(docs, folder, tokenizer, **options).collect())  # a row a shard
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
