@@ -6,7 +6,7 @@ plan has a few rows a length whatever the size of the corpus.  A piece then take
 its rank within that length.
 
 A document longer than a sequence is cut so that only its first piece may be shorter than a sequence.  Nulls count as
-empty texts, which still have their end id.  Repeated doc_ids are packed as separate documents.
+empty texts, which still have their end id.  Rows that repeat a doc_id, or have none, are packed as separate documents.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
         for batch in batches:
             for at, ids, off in encoder.blocks(batch.column(1)):
                 n = np.diff(off) + 1
-                doc = batch.column(0).slice(at, len(n)).to_numpy(zero_copy_only=False)
+                doc = batch.column(0).slice(at, len(n))
                 many = -(-n // size)
                 first = n - (many - 1) * size
                 row = np.repeat(np.arange(len(n)), many)
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
                 with_end = np.insert(ids.astype("<u4"), off[1:], end_id)
                 begin = (off[:-1] + np.arange(len(n)))[row] + start
                 spans = list(zip(begin.tolist(), (begin + length).tolist(), strict=True))
-                columns = [pa.array(doc[row], pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(with_end[a:b]) for a, b in spans], pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
+                columns = [doc.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(with_end[a:b]) for a, b in spans], pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"]
                 if with_ids:
                     columns.append(pa.array([with_end[a:b].view("<i4").tolist() for a, b in spans], pa.list_(pa.int32())))
