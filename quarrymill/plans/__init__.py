@@ -1,5 +1,5 @@
 """Queries over the model; importing a module registers its queries."""
 
-from . import dashboard, functions, relations
+from . import dashboard, functions, matching, relations
 
-__all__ = ["dashboard", "functions", "relations"]
+__all__ = ["dashboard", "functions", "matching", "relations"]
