@@ -180,7 +180,7 @@ def emails_in(text: Column) -> Column:
 
 
 def phones_in(text: Column) -> Column:
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"((?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{3,4})"), F.lit(1)), F.trim))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"((?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{3,4})"), F.lit(1)), lambda p: F.trim(p)))
     return F.filter(found, lambda p: F.length(F.regexp_replace(p, r"\D", "")) >= 8)
 
 
