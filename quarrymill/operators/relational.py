@@ -51,7 +51,7 @@ def dedup_counters(rows: DataFrame, known: DataFrame, key: str, order: list, rel
 
 
 def cap_per_group(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
-    """At most cap rows of each group in arrival order; the window limit is applied before the shuffle is sorted out."""
+    """At most cap rows of each group in arrival order; Spark cuts groups to cap rows before the shuffle, too."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= cap)
 
 
@@ -97,7 +97,7 @@ def quotas(rows: DataFrame, source: str, weight: str, total: int, order: list) -
     sums = shares.agg(F.sum(weight).alias("_sum"))  # one row
     quota = F.greatest(F.lit(1), F.ceil(F.col(weight) / F.col("_sum") * total))
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    return ranked.join(F.broadcast(shares.crossJoin(F.broadcast(sums)).select(F.col(source), quota.alias("quota"))), source).where(F.col("nth") <= F.col("quota"))
+    return ranked.join(shares.crossJoin(F.broadcast(sums)).select(F.col(source), quota.alias("quota")), source).where(F.col("nth") <= F.col("quota"))
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: list[str], kept: list[str]) -> DataFrame:
