@@ -1,5 +1,5 @@
 """Queries over the model; importing a module registers its queries."""
 
-from . import dashboard, functions, matching, relations, relevance
+from . import dashboard, functions, matching, relations, relevance, scores
 
-__all__ = ["dashboard", "functions", "matching", "relations", "relevance"]
+__all__ = ["dashboard", "functions", "matching", "relations", "relevance", "scores"]
