@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import decode, rank_encoder
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL = "doc_id long, ids array<int>, offsets array<int>, decoded binary"
@@ -50,4 +50,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                     yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     bound_batches(docs.sparkSession)
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text").mapInArrow(run, FULL if full else DIGEST)
+    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text").mapInArrow(tidy(run), FULL if full else DIGEST)

@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key held by more than a total / HEAVY_SHARE of the rows counts as hot; there can be at most HEAVY_SHARE of them.
 HEAVY_SHARE = 1000
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tidy(step):
+    """A step over Arrow batches that hands its memory back when a task ends; workers live on and wait for the next one."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Holds Arrow batches to BATCH_BYTES from here on, so that a worker's memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -48,6 +66,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_slices(spark: SparkSession) -> int:
     """Number of slices that hash-partitioned binary blocks are dealt to; it follows the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, shuffle_slices, skew_safe_lookup
+from .common import bound_batches, materialize, shuffle_slices, skew_safe_lookup, tidy
 
 MIN_KEY = 10
 BITS_A_KEY, PROBES = 16, 4
@@ -91,7 +91,7 @@ def hash_blocks(docs: DataFrame, slices: int) -> DataFrame:
             rows = [(s, h[a:b][~several[a:b]].tobytes(), h[a:b][several[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 3, _BLOCK, strict=True)], schema=_BLOCK)
 
-    return docs.mapInArrow(run, "slice int, once binary, twice binary")
+    return docs.mapInArrow(tidy(run), "slice int, once binary, twice binary")
 
 
 def suspects(blocks: DataFrame, slices: int) -> DataFrame:
@@ -111,7 +111,7 @@ def suspects(blocks: DataFrame, slices: int) -> DataFrame:
             if len(again):
                 yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], ["hash"])
 
-    return blocks.repartition(slices, "slice").mapInArrow(run, "hash long")
+    return blocks.repartition(slices, "slice").mapInArrow(tidy(run), "hash long")
 
 
 def suspected_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def suspected_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
                 keep = np.arange(len(keys))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([keys[i] for i in keep], pa.binary()), pa.array(hashes[keep].view(np.int64))], ["doc_id", "key", "hash"])
 
-    lines = docs.mapInArrow(run, "doc_id long, key binary, hash long")
+    lines = docs.mapInArrow(tidy(run), "doc_id long, key binary, hash long")
     return lines if known is not None else lines.join(found.distinct(), "hash", "left_semi")
 
 
@@ -176,4 +176,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 names.append("text")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(run, schema)
+    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join on five-word shingle sets, exact, with count vectors in an R-tree.
 
-Shingles are hashed into GROUPS groups; a document's point is how many of its shingles fall in each.  The intersection of
+Shingles are hashed into groups, GROUPS for short documents and about a quarter of the shingles for long ones; a
+document's point is how many of its shingles fall in each, and points of different lengths are folded to the shorter.  The intersection of
 two sets is at most the sum of the smaller coordinates, so a pair, or a document and a whole box of an R-tree, whose sum
 stays below what the similarity needs is dismissed without its sets.  Surviving pairs are verified on the full sets.
 
@@ -22,20 +23,21 @@ and 128 for sets.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_slices, skew_safe_lookup
+from .common import bound_batches, materialize, release_shuffles, shuffle_slices, skew_safe_lookup, tidy
 from .components import components
 from .words import Words, blocks, mix, rolling
 
-WORDS, PERCENT, GROUPS = 5, 80, 64
+WORDS, PERCENT, GROUPS, MAX_GROUPS = 5, 80, 64, 4096
 #: Shingles in the table of frequent ones, 12 bytes each; and documents of a block of a bucket.
-MAX_FREQUENT, BLOCK_DOCS, LEAF = 32_768, 1_500, 24
+MAX_FREQUENT, BLOCK_DOCS, LEAF = 32_768, 500, 24
 #: Identifiers that are broadcast, 8 bytes each; more of them go through a shuffle join.
 MAX_BROADCAST_IDS = 2_000_000
+#: Bytes of sets that a group of documents holds on average while pairs are verified.
+GROUP_BYTES = 8 << 20
 
 
 def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,34 @@ def _sequence(hashes: np.ndarray) -> int:
     return int(mix(np.array([value], np.uint64))[0])
 
 
+def group_count(n: np.ndarray) -> np.ndarray:
+    """Groups of a document's count vector: a power of two, so that the low bits of a hash name the group at every length."""
+    fine = 2 ** np.floor(np.log2(np.maximum(n, 4) / 4)).astype(np.int64)
+    return np.clip(fine, GROUPS, MAX_GROUPS)
+
+
+def fold(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Count vectors at a common number of groups: entries whose low bits agree are added."""
+    out = np.empty((len(vectors), groups), np.int64)
+    for i, v in enumerate(vectors):
+        out[i] = np.frombuffer(v, np.uint16).reshape(-1, groups).sum(axis=0)
+    return out
+
+
+def bound_allows(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Whether the sum of smaller coordinates reaches what the similarity needs, pair by pair."""
+    keep = np.zeros(len(left), bool)
+    groups = np.minimum([len(v) for v in left], [len(v) for v in right]) // 2 if left else np.zeros(0, np.int64)
+    for g in np.unique(groups).tolist():
+        rows = np.flatnonzero(groups == g)
+        step = max(1, 2_000_000 // g)
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            x, y = (fold([side[i] for i in some], g) for side in (left, right))
+            keep[some] = np.minimum(x, y).sum(axis=1) >= needed(n_left[some], n_right[some])
+    return keep
+
+
 def needed(a, b):
     """The smallest intersection that makes sets of a and b shingles similar: 100 i >= PERCENT (a + b - i)."""
     return -(-(PERCENT * (a + b)) // (100 + PERCENT))
@@ -79,7 +109,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 some = counts > max(1, batch.num_rows // 2000)
                 yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"])
 
-    counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(tidy(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).toPandas()
     return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -101,7 +131,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     filled = np.flatnonzero(n)
                     for d, salt in zip(digest, (0x243F6A8885A308D3, 0x13198A2E03707344), strict=True):
                         d[filled] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), starts[filled])
-                vectors = np.bincount(doc * GROUPS + (hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=many * GROUPS).reshape(many, GROUPS)
+                groups = group_count(n)
+                base = np.concatenate([[0], np.cumsum(groups)])
+                low = (hashes & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
+                vectors = np.minimum(np.bincount(base[doc] + low, minlength=int(base[-1])), 65535).astype(np.uint16)
                 rank = np.zeros(len(hashes), np.int64)
                 if len(table) and len(hashes):
                     place = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
@@ -113,10 +146,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 ends = np.cumsum(np.minimum(dealt, n)).tolist()
                 firsts = [0, *ends[:-1]]
                 columns = [batch.column(0).slice(at, many), pa.array(n, pa.int32()), *(pa.array(d.view(np.int64)) for d in digest)]
-                columns += [pa.array([hashes[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary()), pa.array([v.tobytes() for v in np.minimum(vectors, 65535).astype(np.uint16)], pa.binary())]
+                columns += [pa.array([hashes[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary()), pa.array([vectors[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "dealt", "vector"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, dealt binary, vector binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n int, h1 long, h2 long, dealt binary, vector binary")
 
 
 def bucket_entries(nodes: DataFrame, slices: int) -> DataFrame:
@@ -161,8 +194,8 @@ def bucket_entries(nodes: DataFrame, slices: int) -> DataFrame:
             b = a + 200_000
             yield pa.RecordBatch.from_arrays([pa.array(shingle[a:b].view(np.int64)), pa.array(node[a:b]), pa.array(size[a:b].astype(np.int32)), pa.array(star[a:b])], ["shingle", "node", "n", "star"])
 
-    dealt = nodes.select("node", "n", "dealt").mapInArrow(deal, "slice int, shingles binary, nodes binary, sizes binary")
-    return dealt.repartition(slices, "slice").mapInArrow(meet, "shingle long, node long, n int, star long")
+    dealt = nodes.select("node", "n", "dealt").mapInArrow(tidy(deal), "slice int, shingles binary, nodes binary, sizes binary")
+    return dealt.repartition(slices, "slice").mapInArrow(tidy(meet), "shingle long, node long, n int, star long")
 
 
 def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -172,16 +205,14 @@ def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            v = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5)]
-            n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
-            keep = np.minimum(*v).sum(axis=1, dtype=np.int64) >= needed(*n)
+            keep = bound_allows(*(batch.column(i).to_pylist() for i in (4, 5)), *(batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) whose doc_id is in ids, by a broadcast array while there are few and a join else."""
+    """Rows of docs, doc_id their first column, whose doc_id is in ids, by a broadcast array while there are few and a join else."""
     ids = ids.distinct()
     if ids.count() > MAX_BROADCAST_IDS:
         return docs.join(ids, "doc_id", "left_semi")
@@ -194,7 +225,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
                 yield batch.filter(pa.array(known.value[at] == own))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -207,24 +238,44 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(doc, np.arange(len(raws) + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raws)), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "shingles"])
 
-    return keep_ids(docs, ids).mapInArrow(run, "node long, shingles binary")
+    return keep_ids(docs, ids).mapInArrow(tidy(run), "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar: sorted sets are merged and equal neighbours counted."""
+    """The pairs that are similar: sorted sets are merged and equal neighbours counted.
+
+    Documents are hashed to as many groups as keep a group's sets below GROUP_BYTES; a pair belongs to the cell of its two
+    groups.  A set is sent once to each cell where it has a pair, not once a pair, and a task holds one cell's sets.
+    """
+    size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    groups = int(size // GROUP_BYTES) + 1
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("long")
+    asked = pairs.select((group("a") * groups + group("b")).alias("cell"), "a", "b")
+    ends = asked.select("cell", F.col("a").alias("node")).union(asked.select("cell", "b")).distinct()
+    held = ends.join(sets, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = held.unionByName(asked, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
 
     def run(batches):
+        now, known = None, {}
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            kept = [[], []]
+            for cell, a, b, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
+                    now, known = cell, {}
+                if b is None:
+                    known[a] = np.frombuffer(shingles, np.uint64)
+                    continue
+                x, y = known[a], known[b]
+                if not len(x) or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+                    continue
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
-                keep[i] = len(x) > 0 and 100 * common >= PERCENT * (len(both) - common)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+                if 100 * common >= PERCENT * (len(both) - common):
+                    kept[0].append(a)
+                    kept[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in kept], ["a", "b"])
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("cell", "a", "b", "shingles").mapInArrow(tidy(run), "a long, b long")
 
 
 class RTree:
@@ -262,13 +313,39 @@ class RTree:
         return query, self.order[node]
 
 
-def cell_pairs(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell in different components that the R-tree lets through; a cell is two blocks of a bucket, or one twice."""
-    points = np.frombuffer(b"".join(cell["vector"]), np.uint16).reshape(-1, GROUPS)
-    sizes, nodes, labels = cell["n"].to_numpy(np.int64), cell["node"].to_numpy(), cell["label"].to_numpy()
-    query, entry = RTree(points, sizes).search(points, sizes)
-    fits = (nodes[query] < nodes[entry]) & (labels[query] != labels[entry])
-    return pd.DataFrame({"a": nodes[query[fits]], "b": nodes[entry[fits]]})
+def cell_pairs(cell: np.ndarray, points: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs (the smaller node first) in different components that the bound lets through, of many cells: cell
+    numbers ascend.
+
+    A cell of up to a leaf's rows is a single box, whose rows are compared at once with those of all such cells; larger
+    cells get a tree each.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    many = np.diff(np.append(starts, len(cell)))
+    left, right = [], []
+    small = many <= LEAF
+    row = np.repeat(starts + many, many) - np.arange(len(cell)) - 1  # rows of the cell that follow
+    row[np.repeat(~small, many)] = 0
+    query = np.repeat(np.arange(len(cell)), row)
+    entry = np.arange(len(query)) - np.repeat(np.cumsum(row) - row, row) + query + 1
+    for a in range(0, len(query), 100_000):
+        q, e = query[a : a + 100_000], entry[a : a + 100_000]
+        fits = (labels[q] != labels[e]) & (100 * np.minimum(sizes[q], sizes[e]) >= PERCENT * np.maximum(sizes[q], sizes[e]))
+        q, e = q[fits], e[fits]
+        fits = np.minimum(points[q], points[e]).sum(axis=1, dtype=np.int64) >= needed(sizes[q], sizes[e])
+        left.append(q[fits])
+        right.append(e[fits])
+    for start, n in zip(starts[~small].tolist(), many[~small].tolist(), strict=True):
+        inside = slice(start, start + n)
+        q, e = RTree(points[inside], sizes[inside]).search(points[inside], sizes[inside])
+        fits = labels[inside][q] != labels[inside][e]
+        left.append(start + q[fits])
+        right.append(start + e[fits])
+    q, e = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+    q, e = np.where(nodes[q] <= nodes[e], q, e), np.where(nodes[q] <= nodes[e], e, q)
+    pairs, once = np.unique(np.stack([nodes[q], nodes[e]], axis=1), axis=0, return_index=True)
+    once = once[pairs[:, 0] < pairs[:, 1]]
+    return q[once], e[once]
 
 
 def crossing_pairs(entries: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
@@ -282,29 +359,57 @@ def crossing_pairs(entries: DataFrame, labels: DataFrame, points: DataFrame) ->
     # each block meets each block of its bucket once
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "n", "label")
-    rows = rows.join(points.select("node", "vector"), "node")
-    return rows.groupBy("shingle", "i", "j").applyInPandas(lambda cell: cell_pairs(cell.drop_duplicates("node")), "a long, b long").distinct()
+    rows = rows.join(points.select("node", "vector"), "node").select(F.xxhash64("shingle", "i", "j").alias("cell"), "node", "n", "label", "vector")
+
+    def run(batches):
+        held = []
+
+        def flush(table: pa.Table):
+            columns = [table.column(c).to_numpy() for c in ("cell", "node", "n", "label")]
+            vectors, sizes = table.column("vector").to_pylist(), columns[2].astype(np.int64)
+            q, e = cell_pairs(columns[0], fold(vectors, GROUPS), sizes, columns[1], columns[3])
+            fine = bound_allows([vectors[i] for i in q], [vectors[i] for i in e], sizes[q], sizes[e])
+            a, b = columns[1][q[fine]], columns[1][e[fine]]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 8_000:  # whole cells leave, the last one waits for its rest
+                table = pa.Table.from_batches(held)
+                cells = table.column("cell").to_numpy()
+                upto = int(np.searchsorted(cells, cells[-1]))
+                if upto:
+                    yield flush(table.slice(0, upto))
+                    held = table.slice(upto).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield flush(pa.Table.from_batches(held))
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     slices = shuffle_slices(spark)
     docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
     found = materialize(signatures(docs, frequent_shingles(docs)), "signatures")
     classes = found.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
-    nodes = found.where("n > 3").withColumnRenamed("doc_id", "node").join(classes.select("h1", "h2", "node"), ["h1", "h2", "node"], "left_semi").dropDuplicates(["h1", "h2", "node"])
-    nodes = materialize(nodes.select("node", "n", "dealt", "vector"), "nodes")
+    nodes = keep_ids(found.where("n > 3").select("doc_id", "n", "dealt"), classes.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
     entries = materialize(bucket_entries(nodes, slices), "entries")
-    partners = entries.select(F.col("node").alias("m")).distinct()
-    points = materialize(nodes.select("node", "n", "vector").join(partners, F.col("node") == F.col("m"), "left_semi"), "points")
+    release_shuffles(spark)
+    partners = entries.select(F.col("node").alias("doc_id")).distinct()
+    points = found.select("doc_id", "n", "vector").join(partners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    points = materialize(points.withColumnRenamed("doc_id", "node"), "points")
     stars = entries.where("node != star").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
     stars = materialize(within_bound(stars, points), "star-pairs")
     ids = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     star_links = materialize(verified(stars, materialize(full_sets(docs, ids(stars)), "sets")), "star-links")
+    release_shuffles(spark)
     cross = crossing_pairs(entries, components(star_links, rounds=3), points)
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "crossing-pairs")
+    release_shuffles(spark)
     cross_links = verified(cross, materialize(full_sets(docs, ids(cross)), "sets"))
     links = materialize(star_links.union(cross_links), "links")
     labels = components(links)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import json_encoder
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, tidy
 
 SEQUENCE, END_ID = 1024, 2
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text").mapInArrow(run, _PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text").mapInArrow(tidy(run), _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, **columns) -> DataFrame:

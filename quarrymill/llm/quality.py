@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 from .words import Words, blocks, rolling
 
 MAX_TRAIN = 20_000
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Tree
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # max_rows rows of 12 bytes at most
-    rows = docs.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").toPandas()
+    rows = docs.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "quality").mapInArrow(tidy(run), "doc_id long, quality int, x binary").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     x = np.stack([np.frombuffer(b) for b in rows["x"]]) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["quality"].to_numpy(np.float64))
@@ -196,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, keep
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), score], ["doc_id", "score"])
 
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(tidy(run), schema)
     if keep_columns:
         return out
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

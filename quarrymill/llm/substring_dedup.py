@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, shuffle_slices
+from .common import bound_batches, materialize, shuffle_slices, tidy
 from .words import Words, blocks, mix
 
 MIN_BYTES, K = 100, 32
@@ -71,7 +71,7 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
                 some = counts > max(3, batch.num_rows // 1000)
                 yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some])], ["anchor", "n"])
 
-    counted = docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 30")
+    counted = docs.mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 30")
     top = counted.orderBy(F.desc("n"), "anchor").limit(MAX_FREQUENT).select("anchor").toPandas()
     return np.sort(top["anchor"].to_numpy(np.int64).view(np.uint64))
 
@@ -145,7 +145,7 @@ def deal(docs: DataFrame, frequent: np.ndarray, slices: int) -> DataFrame:
                 rows.append((int(lost[0][0]) % slices, 1, b"", b"", *(x.astype(np.int64).tobytes() for x in lost)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 7, block, strict=True)], schema=block)
 
-    return docs.mapInArrow(run, "slice int, kind int, anchors binary, spans binary, docs binary, starts binary, windows binary")
+    return docs.mapInArrow(tidy(run), "slice int, kind int, anchors binary, spans binary, docs binary, starts binary, windows binary")
 
 
 def collapse(blocks_: DataFrame, slices: int) -> DataFrame:
@@ -179,7 +179,7 @@ def collapse(blocks_: DataFrame, slices: int) -> DataFrame:
         keep = keep[several]
         yield from rows(anchor[keep], doc[keep], start[keep], end[keep])
 
-    return blocks_.repartition(slices, "slice").mapInArrow(run, "anchor long, doc_id long, start long, end long")
+    return blocks_.repartition(slices, "slice").mapInArrow(tidy(run), "anchor long, doc_id long, start long, end long")
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -300,8 +300,8 @@ def compare(docs: DataFrame, mixed: DataFrame, slices: int) -> DataFrame:
         if held[0]:
             yield flush(len(held[0]))
 
-    fetched = docs.join(per_doc, "doc_id").select("doc_id", "text", "cuts").mapInArrow(fetch, "anchor long, doc_id long, start long, span binary")
-    return fetched.repartition(slices, "anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, start long, end long")
+    fetched = docs.join(per_doc, "doc_id").select("doc_id", "text", "cuts").mapInArrow(tidy(fetch), "anchor long, doc_id long, start long, span binary")
+    return fetched.repartition(slices, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(sort), "doc_id long, start long, end long")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -338,4 +338,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(run, schema)
+    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import json_encoder
-from .common import bound_batches, scratch_path, shuffle_slices
+from .common import bound_batches, scratch_path, shuffle_slices, tidy
 
 MAGIC, VERSION, END_ID = b"QMSST001", 1, 2
 BLOCK_IDS, SHARD_IDS, BITS_A_KEY, PROBES = 32_768, 16_000_000, 10, 6
@@ -207,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
             yield finish()
 
     rows = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
-    return rows.repartitionByRange(shuffle_slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _MANIFEST)
+    return rows.repartitionByRange(shuffle_slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), _MANIFEST)
 
 
 def read(spark, manifest: list) -> DataFrame:
@@ -231,7 +231,7 @@ def read(spark, manifest: list) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, _ROWS)
+    return shards.mapInArrow(tidy(run), _ROWS)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
