@@ -2,9 +2,9 @@
 
 1. Each task hashes the keys of its lines and sends every distinct hash once to the slice that owns it, with a mark if
    two of its own documents hold it; a slice passes its blocks through two Bloom filters, for hashes seen once and seen
-   twice, sized by what it has received.  What the second filter takes in is a suspected repeat.
+   twice, sized by what it has received.  What the second filter holds in the end is a suspected repeat, emitted once.
 2. A second pass keeps the lines whose hash is suspected; only these are shuffled.  Their keys are grouped in full, which
-   confirms repeats exactly and gives the first document of each; a false alarm of the filters dies here.
+   confirms repeats exactly and gives the first document of each; a false alarm of either filter dies here.
 3. Each document gets the keys that it loses and drops their lines.
 
 A key is the line without white space at its ends, A-Z lower-cased; it counts from MIN_KEY code points on, and repeats
@@ -32,6 +32,7 @@ BITS_A_KEY, PROBES = 16, 4
 #: Suspected hashes that are broadcast, 8 bytes each; more of them go through a shuffle join.
 MAX_BROADCAST_HASHES = 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_EMITTED = 1 << 16
 _BLOCK = pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
@@ -103,13 +104,14 @@ def suspects(blocks: DataFrame, slices: int) -> DataFrame:
         seen_once, seen_twice = Bloom(size), Bloom(size)
         for _, once, twice in held:
             once, twice = np.frombuffer(once, np.uint64), np.frombuffer(twice, np.uint64)
-            again = np.concatenate([once[seen_once.holds(once)], twice])
-            again = again[~seen_twice.holds(again)]
-            seen_twice.add(again)
+            seen_twice.add(np.concatenate([once[seen_once.holds(once)], twice]))
             seen_once.add(once)
             seen_once.add(twice)
-            if len(again):
-                yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], ["hash"])
+        # asked only when it is full: it then holds every repeat, and what it holds by chance is one suspect more
+        again = [h[seen_twice.holds(h)] for _, *both in held for h in (np.frombuffer(b, np.uint64) for b in both)]
+        again = np.unique(np.concatenate(again)) if again else np.zeros(0, np.uint64)
+        for at in range(0, len(again), _EMITTED):
+            yield pa.RecordBatch.from_arrays([pa.array(again[at : at + _EMITTED].view(np.int64))], ["hash"])
 
     return blocks.repartition(slices, "slice").mapInArrow(tidy(run), "hash long")
 

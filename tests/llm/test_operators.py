@@ -202,6 +202,27 @@ def test_line_dedup_by_the_shuffle_join(docs, monkeypatch):
     assert sorted(map(tuple, line_dedup.dedup(docs).collect())) == before
 
 
+def test_line_dedup_filters_lose_no_repeat(monkeypatch):
+    """Filters of one bit a hash give false alarms all the time; they may add suspects, but take none away."""
+
+    class Blocks:
+        def repartition(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(line_dedup, "BITS_A_KEY", 1)
+    hashes = np.random.default_rng(1).integers(0, 2**64, 3000, np.uint64)
+    often, seldom, marked = hashes[:1000], hashes[1000:2000], hashes[2000:]
+    rows = [(0, h.tobytes(), m.tobytes()) for h, m in ((often, marked), (np.concatenate([often, seldom]), marked), (often, marked[:0]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), line_dedup._BLOCK, strict=True)], schema=line_dedup._BLOCK)
+    found = [h for b in line_dedup.suspects(Blocks(), 1)(iter([batch])) for h in b.column(0).to_numpy().view(np.uint64).tolist()]
+    assert set(found) >= set(often.tolist()) | set(marked.tolist())
+    assert len(found) == len(set(found))
+    assert not list(line_dedup.suspects(Blocks(), 1)(iter([])))
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(2)
     good = ["The quick brown fox jumps over a lazy dog near the river bank", "Some words make a sentence that people can read without effort"]
