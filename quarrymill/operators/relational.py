@@ -68,6 +68,30 @@ def distinct_mail_per_company(contacts: DataFrame) -> DataFrame:
     return ranked.select("contact_id", "company_id", mail.alias("email"), F.when(mail.isNotNull(), "email").when(filled(F.col("linkedin_url")), "linkedin").alias("channel"))
 
 
+#: Rows of the sample that stand for one bucket of a sort.
+SAMPLED = 32
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with their rank, from 1, by `order`: ascending columns, nulls first, that end in an identifier.
+
+    Rows are dealt to as many buckets as there are shuffle partitions, between splitters of a sample that is drawn by the hash
+    of the key, so that every evaluation draws the same; a rank is the count of the buckets before plus the place in its own.
+    """
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(buckets * SAMPLED)
+    splitters = F.filter(F.array_sort(F.collect_list("_key")), lambda _, i: i % SAMPLED == SAMPLED - 1)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at("_splitters", at + step) <= F.col("_key"), at + step).otherwise(at))
+    dealt = keyed.crossJoin(F.broadcast(sample.agg(splitters.alias("_splitters")))).withColumn("_bucket", below).drop("_splitters")  # one row
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # a row a bucket
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    out = dealt.withColumn("_nth", nth).join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
+    return out.select(*rows.columns, (F.col("_before") + F.col("_nth")).alias("rank"))
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
