@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1000
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Bytes that a slice of packed blocks holds, and 64-bit words of a broadcast Bloom filter at most.
+SLICE_BYTES, MAX_FILTER_WORDS = 64 << 20, 1 << 21
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later step reads; what a result is read from stays until its owner clears the folder."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -77,6 +89,34 @@ def shuffle_slices(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices_for(spark: SparkSession, size: int | None) -> int:
+    """As many slices as hold size bytes in SLICE_BYTES each, and as many as the session has shuffle partitions at least."""
+    return max(shuffle_slices(spark), -(-int(size or 0) // SLICE_BYTES))
+
+
+def likely(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is in ids, and a few others: a Bloom filter of 16 bits a key, MAX_FILTER_WORDS of 64 bits at
+    most, is broadcast, so that a join that follows shuffles little else than what it keeps.  Null is a key like others."""
+    spark = docs.sparkSession
+    words = 1 << min(max(10, (ids.count() // 4).bit_length()), MAX_FILTER_WORDS.bit_length() - 1)
+    mask, h = F.lit(words * 64 - 1), F.xxhash64(key)
+    spots = ids.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("spot"))
+    filled = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toPandas()
+    bits = np.zeros(words, np.uint64)
+    bits[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
+    known, names = spark.sparkContext.broadcast(bits), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            hashed = batch.column(len(names)).to_numpy().view(np.uint64)
+            keep = np.ones(len(hashed), bool)
+            for spot in (hashed & np.uint64(words * 64 - 1), hashed >> np.uint64(32) & np.uint64(words * 64 - 1)):
+                keep &= (known.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(keep))
+
+    return docs.select("*", h.alias("_hashed")).mapInArrow(tidy(run), docs.schema)
+
+
 def hot_keys(counted: DataFrame, count_col: str, total: int) -> DataFrame:
     """Rows of a table keyed once per key whose count exceeds total / HEAVY_SHARE: at most HEAVY_SHARE rows by arithmetic."""
     return counted.where(F.col(count_col) > F.lit(max(1, total // HEAVY_SHARE)))
