@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 80
 #: Groups of the R-tree's points, and the most groups of a vector that goes to buckets; children of a box.
 GROUPS, MAX_GROUPS, LEAF = 64, 4096, 24
 #: Shingles in the table of frequent ones, 20 bytes each.
-MAX_FREQUENT = 32_768
+MAX_FREQUENT = 262_144
 #: Documents of a part of a bucket; bytes of sets and documents of a part of a family; documents that deal out one
 #: shingle from which it is split before any bucket is built.
 PART_DOCS, PART_BYTES, FAMILY_DOCS, HOT_ENTRIES = 1024, 4 << 20, 4096, 1_000_000
@@ -290,57 +290,57 @@ def parts_met(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def buckets(found: DataFrame, slices: int, frequent: tuple[np.ndarray, np.ndarray], part_docs: int, hot_entries: int) -> DataFrame:
-    """Distinct buckets of several nodes of similar size, a row a part: b1, b2 (digests of its nodes), part, parts, nodes, sizes.
+    """Distinct buckets of several sets of similar size, a row a part: b1, b2 (digests of the bucket), part, parts, sets.
 
-    A node is the smallest row of an equal set.  A task deals an entry to the slice of its shingle, packed in arrays.
+    Sets go by their first digest here: 64 bits, and whatever two sets might share one are both looked up by it later.  A
+    task deals an entry to the slice of its shingle, packed in arrays.
     """
-    block = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary())])
+    block = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
     hot = frequent[1] >= 2 * hot_entries
     by_hash = np.argsort(frequent[0][hot])
     hot_names, hot_parts = frequent[0][hot][by_hash], -(-frequent[1][hot][by_hash] // hot_entries)
 
     def deal(batches):
         for batch in batches:
-            order = np.argsort(batch.column(0).to_numpy())
-            batch = batch.take(pa.array(order[np.unique(batch.column(2).to_numpy()[order], return_index=True)[1]]))  # of equal sets, the smallest row
-            dealt = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            batch = batch.take(pa.array(np.unique(batch.column(1).to_numpy(), return_index=True)[1]))  # equal sets deal once
+            dealt = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             if not dealt:
                 continue
             times = np.array([len(x) for x in dealt])
             shingle = mix(np.concatenate(dealt) ^ np.uint64(0xA4093822299F31D0))
-            node, size, digest = (np.repeat(batch.column(i).to_numpy(), times) for i in range(3))
+            size, digest = (np.repeat(batch.column(i).to_numpy(), times) for i in range(2))
             if len(hot_names):
                 raw = np.concatenate(dealt)
                 at = np.minimum(np.searchsorted(hot_names, raw), len(hot_names) - 1)
                 parts = np.where(hot_names[at] == raw, hot_parts[at], 1)
                 row, low, high = parts_met((mix(digest.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), parts)
-                shingle, node, size, digest = shingle[row], node[row], size[row], digest[row]
+                shingle, size, digest = shingle[row], size[row], digest[row]
                 shingle = np.where(parts[row] > 1, mix(shingle ^ (low * 65_536 + high + 1).astype(np.uint64)), shingle)
             to = (shingle >> np.uint64(32)) % np.uint64(slices)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((shingle, to))
             cuts = np.searchsorted(to[order], np.arange(slices + 1).astype(np.uint64))
-            packed = [x[order] for x in (shingle.astype(np.uint32), node, size, digest)]
+            packed = [x[order] for x in (shingle.astype(np.uint32), digest, size)]
             rows = [(s, *(x[a:b].tobytes() for x in packed)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 5, block, strict=True)], schema=block)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 4, block, strict=True)], schema=block)
 
     def meet(batches):
-        held = [[], [], [], []]
+        held = [[], [], []]
         for batch in batches:
-            for part, column, kind in zip(held, batch.columns[1:], (np.uint32, np.int64, np.int32, np.int64), strict=True):
+            for part, column, kind in zip(held, batch.columns[1:], (np.uint32, np.int64, np.int32), strict=True):
                 part += [np.frombuffer(x, kind) for x in column.to_pylist()]
         if not held[0]:
             return
-        key, node, size, digest = (np.concatenate(x) for x in held)
+        key, digest, size = (np.concatenate(x) for x in held)
         held.clear()
-        order = np.lexsort((node, digest, size, key))
-        key, node, size, digest = key[order], node[order], size[order].astype(np.int64), digest[order]
+        order = np.lexsort((digest, size, key))
+        key, digest, size = key[order], digest[order], size[order].astype(np.int64)
         new = np.ones(len(key), bool)  # of equal sets, one
         new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (digest[1:] != digest[:-1])
-        key, node, size = key[new], node[new], size[new]
+        key, digest, size = key[new], digest[new], size[new]
         # a bucket ends where the shingle does, or where the next set is too large for all before it
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[1:] * PERCENT > size[:-1] * 100)]))
         many = np.diff(np.append(start, len(key)))
-        name = [np.add.reduceat(mix(node.view(np.uint64) + np.uint64(salt)), start) for salt in (0x452821E638D01377, 0xBE5466CF34E90C6C)]
+        name = [np.add.reduceat(mix(digest.view(np.uint64) + np.uint64(salt)), start) for salt in (0x452821E638D01377, 0xBE5466CF34E90C6C)]
         keep = np.flatnonzero(many > 1)
         order = keep[np.lexsort((name[1][keep], name[0][keep]))]
         once = np.ones(len(order), bool)
@@ -350,37 +350,37 @@ def buckets(found: DataFrame, slices: int, frequent: tuple[np.ndarray, np.ndarra
             a, parts = int(start[b]), -(-int(many[b]) // part_docs)
             for p in range(parts):
                 inside = slice(a + p * part_docs, a + min((p + 1) * part_docs, int(many[b])))
-                rows.append((name[0][b].astype(np.int64), name[1][b].astype(np.int64), p, parts, node[inside].tobytes(), size[inside].astype(np.int32).tobytes()))
+                rows.append((name[0][b].astype(np.int64), name[1][b].astype(np.int64), p, parts, digest[inside].tobytes()))
             if len(rows) >= 4_000:
                 yield _bucket_rows(rows)
                 rows = []
         yield _bucket_rows(rows)
 
-    rows = found.where("n > 3").select("row", "n", "h1", "dealt")
-    dealt = rows.mapInArrow(tidy(deal), "slice int, keys binary, nodes binary, sizes binary, digests binary")
-    met = dealt.repartition(slices, "slice").mapInArrow(tidy(meet), "b1 long, b2 long, part int, parts int, nodes binary, sizes binary")
+    rows = found.where("n > 3").select("n", "h1", "dealt")
+    dealt = rows.mapInArrow(tidy(deal), "slice int, keys binary, sets binary, sizes binary")
+    met = dealt.repartition(slices, "slice").mapInArrow(tidy(meet), "b1 long, b2 long, part int, parts int, sets binary")
     return met.dropDuplicates(["b1", "b2", "part"])
 
 
 def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["b1", "b2", "part", "parts", "nodes", "sizes"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], ["b1", "b2", "part", "parts", "sets"])
 
 
 def entries(bucket_rows: DataFrame) -> DataFrame:
-    """cell, node: each part's nodes, once for each cell where the part meets another."""
+    """cell, h1: each part's sets, once for each cell where the part meets another."""
 
     def run(batches):
         for batch in batches:
             b1, part, parts = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
             row, low, high = parts_met(part, parts)
             cell = np.where(parts[row] > 1, mix(b1[row].view(np.uint64) + (low * 65_536 + high + 1).astype(np.uint64)).view(np.int64), b1[row])
-            nodes = batch.column(4).to_pylist()
+            sets = batch.column(4).to_pylist()
             for a in range(0, len(row), 100):
-                some = [np.frombuffer(nodes[i], np.int64) for i in row[a : a + 100].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell[a : a + 100], [len(x) for x in some])), pa.array(np.concatenate(some))], ["cell", "node"])
+                some = [np.frombuffer(sets[i], np.int64) for i in row[a : a + 100].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell[a : a + 100], [len(x) for x in some])), pa.array(np.concatenate(some))], ["cell", "h1"])
 
-    return bucket_rows.mapInArrow(tidy(run), "cell long, node long")
+    return bucket_rows.mapInArrow(tidy(run), "cell long, h1 long")
 
 
 def whole_cells(batches, weigh, rows: int, size: int):
@@ -487,8 +487,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_d
     slices = slices_for(spark, found.agg(F.sum(3 * F.length("dealt"))).first()[0])
     bucket_rows = materialize(buckets(found, slices, frequent, part_docs, hot_entries), "buckets")
     placed = entries(bucket_rows)
-    points = found.select(F.col("row").alias("node"), "n", "vector").join(placed.select("node").distinct(), "node", "left_semi")
-    flagged = materialize(relatives(placed.join(points, "node").select("cell", "node", "n", "vector")).distinct(), "relatives")
+    nodes = classes.select("node", "h1").join(placed.select("h1").distinct(), "h1", "left_semi")
+    points = found.select(F.col("row").alias("node"), "n", "vector").join(nodes, "node")
+    flagged = materialize(relatives(placed.join(points, "h1").select("cell", "node", "n", "vector")).distinct(), "relatives")
     families = components(flagged.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b"))
     members = families.join(found.select(F.col("row").alias("node"), "doc_id", "n", "h1", "h2"), "node")
     members = materialize(members, "members")
