@@ -1,9 +1,9 @@
 """Byte-level BPE through the tokenizers library, over Arrow batches.
 
 A text is cut only where the pre-tokenizer certainly starts a new piece: before a single space or around a single
-newline between two characters that are no white space.  Every distinct chunk is encoded once per worker and kept in a
-bounded cache; the ids of a whole batch are then gathered with numpy.  Texts with other white space are cut by a
-regular expression that keeps each unusual run with its neighbours.
+newline between two characters that neither engine can take for white space.  Every distinct chunk is encoded once per worker and kept in a
+bounded cache; the ids of a whole batch are then gathered with numpy.  Texts with other white space or with format
+characters are cut by a regular expression at the same places only.
 
 Contract: ids equal ``Tokenizer.encode(text, add_special_tokens=False)`` on the whole text.  Null counts as empty.
 """
@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters that either engine may take for white space.
+#: Characters that either engine may take for white space, and format characters that one of them might.
 _SPACES = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
-_ODD = "(?:[" + _SPACES + "]{2,}|(?![ \\n])[" + _SPACES + "])"
-_CHUNK = re.compile(f"(?: |{_ODD})?[^{_SPACES}]+(?:{_ODD}[^{_SPACES}]+)*|\\n(?=[^{_SPACES}])|[{_SPACES}]+")
-#: A text that matches this needs _CHUNK; \x01 and \x02 mark chunks below.
+#: Before a single space, before and after a single newline, with certain non-space on both sides; whatever the rest counts
+#: as, no piece reaches over these places.
+_CUT = re.compile(f"(?<=[^{_SPACES}])(?=[ \\n][^{_SPACES}])|(?<=[^{_SPACES}]\\n)(?=[^{_SPACES}])")
+#: A text that matches this needs _CUT; \x01 and \x02 mark chunks below.
 _UNUSUAL = r"[ \n][ \n]|[\x01\x02\t\x0b-\x0d\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]"
 #: ASCII punctuation; a run of it is one piece, but for the apostrophe, which may start a contraction.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -127,7 +128,7 @@ class Encoder:
             # their chunks are given as such: no mark \x02 but the one that says "as it stands"
             rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
             pieces = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), marked), " ")
-            slow = [["\x02" + c for c in _CHUNK.findall(texts[int(i)].as_py())] for i in rows]
+            slow = [["\x02" + c for c in _CUT.split(texts[int(i)].as_py()) if c] for i in rows]
             lists_off = pieces.offsets.to_numpy().astype(np.int64)
             counts = np.diff(lists_off)
             flat = pieces.values.to_pylist()
