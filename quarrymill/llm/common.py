@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key held by more than a total / HEAVY_SHARE of the rows counts as hot; there can be at most HEAVY_SHARE of them.
@@ -94,27 +94,82 @@ def slices_for(spark: SparkSession, size: int | None) -> int:
     return max(shuffle_slices(spark), -(-int(size or 0) // SLICE_BYTES))
 
 
-def likely(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key is in ids, and a few others: a Bloom filter of 16 bits a key, MAX_FILTER_WORDS of 64 bits at
-    most, is broadcast, so that a join that follows shuffles little else than what it keeps.  Null is a key like others."""
-    spark = docs.sparkSession
-    words = 1 << min(max(10, (ids.count() // 4).bit_length()), MAX_FILTER_WORDS.bit_length() - 1)
-    mask, h = F.lit(words * 64 - 1), F.xxhash64(key)
-    spots = ids.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("spot"))
+def broadcast_filter(keys: DataFrame, hashed):
+    """A function (hashes: uint64 array) -> bool array that is true for the 64-bit hashes of keys, and for a few others.
+
+    A Bloom filter of 16 bits a key, MAX_FILTER_WORDS of 64 bits at most, is what the driver holds and broadcasts; beyond
+    that size it lets more through, so whoever asks it confirms by a join, and shuffles little else than what it keeps.
+    """
+    spark = keys.sparkSession
+    words = 1 << min(max(10, (keys.count() // 4).bit_length()), MAX_FILTER_WORDS.bit_length() - 1)
+    mask = F.lit(words * 64 - 1)
+    spots = keys.select(F.explode(F.array(hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask))).alias("spot"))
     filled = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toPandas()
     bits = np.zeros(words, np.uint64)
     bits[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
-    known, names = spark.sparkContext.broadcast(bits), docs.columns
+    known = spark.sparkContext.broadcast(bits)
+
+    def holds(hashes: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(hashes), bool)
+        for spot in (hashes & np.uint64(words * 64 - 1), hashes >> np.uint64(32) & np.uint64(words * 64 - 1)):
+            keep &= (known.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return keep
+
+    return holds
+
+
+def _kept_by(docs: DataFrame, key: str, holds, wanted: bool) -> DataFrame:
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            hashed = batch.column(len(names)).to_numpy().view(np.uint64)
-            keep = np.ones(len(hashed), bool)
-            for spot in (hashed & np.uint64(words * 64 - 1), hashed >> np.uint64(32) & np.uint64(words * 64 - 1)):
-                keep &= (known.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keep = holds(batch.column(len(names)).to_numpy().view(np.uint64)) == wanted
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(keep))
 
-    return docs.select("*", h.alias("_hashed")).mapInArrow(tidy(run), docs.schema)
+    return docs.select("*", F.xxhash64(key).alias("_hashed")).mapInArrow(tidy(run), docs.schema)
+
+
+def likely(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is in ids, and a few others; null is a key like others."""
+    return _kept_by(docs, key, broadcast_filter(ids, F.xxhash64(key)), True)
+
+
+def lookup_few(docs: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """docs left-joined with a table that has one row a key: rows that surely have none pass by the shuffle."""
+    holds = broadcast_filter(table.select(key), F.xxhash64(key))
+    found = _kept_by(docs, key, holds, True).join(table, key, "left")
+    return found.unionByName(_kept_by(docs, key, holds, False), allowMissingColumns=True)
+
+
+def unique_ids(docs: DataFrame, id_col: str, new_col: str) -> DataFrame:
+    """docs with a long column new_col that orders rows as id_col does and that no two rows share; null stays null.
+
+    Where no id is shared it is id_col itself; else ids are counted in order, by local places and the sizes of ranges.
+    """
+    spark = docs.sparkSession
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return docs.withColumn(new_col, F.col(id_col))
+    row = without_clash(docs.columns, "row")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ranged = docs.where(F.col(id_col).isNotNull()).select(id_col, row).repartitionByRange(shuffle_slices(spark), id_col, row).sortWithinPartitions(id_col, row)
+    ranged = materialize(ranged.select(row, F.monotonically_increasing_id().alias("at")), "ordered-rows")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = ranged.withColumn("part", part).join(F.broadcast(base), "part").select(row, (F.col("base") + place).alias(new_col))
+    return docs.join(numbered, row, "left").drop(row)
+
+
+def without_clash(names: list[str], wanted: str) -> str:
+    """wanted, with as many underscores before it as make it differ from all names."""
+    while wanted.lower() in {n.lower() for n in names}:
+        wanted = "_" + wanted
+    return wanted
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as select() takes them, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
 def hot_keys(counted: DataFrame, count_col: str, total: int) -> DataFrame:

@@ -1,17 +1,22 @@
 """Line dedup with two Bloom filters.
 
-1. Each task hashes the keys of its lines and sends every distinct hash once to the slice that owns it, with a mark if
-   two of its own documents hold it; a slice passes its blocks through two Bloom filters, for hashes seen once and seen
-   twice, sized by what it has received.  What the second filter holds in the end is a suspected repeat, emitted once.
-2. A second pass keeps the lines whose hash is suspected; only these are shuffled.  Their keys are grouped in full, which
-   confirms repeats exactly and gives the first document of each; a false alarm of either filter dies here.
-3. Each document gets the keys that it loses and drops their lines.
+1. Each task hashes the keys of its lines and sends every distinct hash once, 8 bytes of it and nothing of the line, to
+   the slice whose part of the two filters it belongs to, with a mark if two of its own documents hold it.  A slice passes
+   its blocks through its Bloom filters, for hashes seen once and seen twice, sized by what it has received; the number of
+   slices follows the size of the texts.  What the second filter holds in the end is a suspected repeat.
+2. A second pass asks a Bloom filter of the suspects, of bounded size, for each line; only lines that it holds shuffle.
+   Their keys are grouped in full, which confirms repeats exactly and gives the first document of each; a false alarm of
+   any filter dies here, and none can hide a repeat.
+3. Documents that lose lines get the keys that they lose by a join; all others pass by the shuffle.
 
 A key is the line without white space at its ends, A-Z lower-cased; it counts from MIN_KEY code points on, and repeats
 within one document don't count.  Hot keys are no burden: counts are pre-aggregated, and the look-up of first documents
 broadcasts the at most HEAVY_SHARE keys that hold over a thousandth of the rows.
 
 Null and empty texts are one empty line.  Rows with the same doc_id are one document for the count and lose the same keys.
+Rows without doc_id hold no key for others and lose no line.  Texts of any length are taken whole, in Arrow batches of bounded
+size.  Ties cannot occur, since doc_id decides.  Other columns are neither needed nor touched, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, shuffle_slices, skew_safe_lookup, tidy
+from .common import bound_batches, broadcast_filter, lookup_few, materialize, skew_safe_lookup, slices_for, tidy
 
 MIN_KEY = 10
 BITS_A_KEY, PROBES = 16, 4
-#: Suspected hashes that are broadcast, 8 bytes each; more of them go through a shuffle join.
-MAX_BROADCAST_HASHES = 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EMITTED = 1 << 16
 _BLOCK = pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -78,7 +81,7 @@ def hash_blocks(docs: DataFrame, slices: int) -> DataFrame:
             for doc_id, raw in zip(ids, pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), strict=True):
                 own = {key_hash(k) for k in set(line_keys(raw)) if k}
                 hashes += own
-                owner += [doc_id or 0] * len(own)
+                owner += [doc_id] * len(own)
             h, o = np.array(hashes, np.uint64), np.array(owner, np.int64)
             order = np.lexsort((o, h))
             h, o = h[order], o[order]
@@ -118,40 +121,31 @@ def suspects(blocks: DataFrame, slices: int) -> DataFrame:
 
 def suspected_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, key) of the lines whose hash is suspected, once a document."""
-    n = found.count()
-    known = None
-    if n <= MAX_BROADCAST_HASHES:
-        hashes = found.toPandas()["hash"].to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    holds = broadcast_filter(found, F.col("hash"))
 
     def run(batches):
-        sorted_hashes = known.value if known is not None else None
         for batch in batches:
             keys, ids = [], []
             for doc_id, raw in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), strict=True):
                 own = [k for k in dict.fromkeys(line_keys(raw)) if k]
                 keys += own
                 ids += [doc_id] * len(own)
-            hashes = np.fromiter(map(key_hash, keys), np.uint64, len(keys))
-            if sorted_hashes is not None:
-                at = np.searchsorted(sorted_hashes, hashes)
-                keep = np.flatnonzero(sorted_hashes[np.minimum(at, len(sorted_hashes) - 1)] == hashes) if len(sorted_hashes) else np.zeros(0, np.int64)
-            else:
-                keep = np.arange(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([keys[i] for i in keep], pa.binary()), pa.array(hashes[keep].view(np.int64))], ["doc_id", "key", "hash"])
+            keep = np.flatnonzero(holds(np.fromiter(map(key_hash, keys), np.uint64, len(keys)))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([keys[i] for i in keep], pa.binary())], ["doc_id", "key"])
 
-    lines = docs.mapInArrow(tidy(run), "doc_id long, key binary, hash long")
-    return lines if known is not None else lines.join(found.distinct(), "hash", "left_semi")
+    return docs.mapInArrow(tidy(run), "doc_id long, key binary")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_lines, n_dropped, kept_sha256 and, with_text, the text that is left."""
     spark = docs.sparkSession
     bound_batches(spark)
-    slices = shuffle_slices(spark)
-    docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
-    found = materialize(suspects(hash_blocks(docs, slices), slices), "suspected-hashes")
-    lines = materialize(suspected_lines(docs, found), "suspected-lines")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named = docs.where("doc_id is not null")
+    # a hash of 8 bytes for a line of 10 code points and its end at least
+    slices = slices_for(spark, named.agg(F.sum(F.octet_length("text"))).first()[0])
+    found = materialize(suspects(hash_blocks(named, slices), slices), "suspected-hashes")
+    lines = materialize(suspected_lines(named, found), "suspected-lines")
     first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(F.col("first") < F.col("last"))
     first = materialize(first.select("key", "first", "n"), "confirmed-lines")
     lost = skew_safe_lookup(lines.select("doc_id", "key"), first, ["key"], "n", lines.count(), how="inner").where(F.col("doc_id") > F.col("first"))
@@ -178,4 +172,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 names.append("text")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)
+    return lookup_few(docs, materialize(per_doc, "lost-lines"), "doc_id").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)
