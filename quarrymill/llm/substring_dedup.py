@@ -5,16 +5,24 @@ to that K-gram, its anchor.  The windows of one anchor in one text form a span;
 
 Collapse.  Rows with the same anchor and the same span are the same windows: the earliest stays, the others are removed
 whole, first within a batch, then within a slice.  Anchors that are frequent over all documents are dealt window by
-window instead, so what many documents share collapses in every batch and no task gets a hot group.
+window instead, so what many documents share collapses in every batch and no task gets a hot group.  The number of slices
+follows the size of the texts.
 
 Sort.  Only anchors with several different spans remain: edges of repeats, where texts begin to differ.  The spans of a
 block of such anchors are put in suffix order up to the threshold and turned into a Burrows-Wheeler transform; breadth-first
 backward extension of intervals then finds common prefixes by increasing length, and stops at MIN_BYTES: whatever is
-not separated by then is a window that occurs again.
+not separated by then is a window that occurs again.  An anchor whose spans are more than a block is dealt once more, window
+by window; of windows that are all equal a task keeps the earliest alone.
+
+Spans count as equal by two 64-bit hashes, of the anchor and of the span, and those of one anchor can differ in the second
+only: with 10^13 spans in groups of up to 10^4 a wrong pair is expected once in 400 such corpora.  What the transform finds
+is compared byte by byte.
 
 Texts are UTF-8 bytes, null counts as empty; matches never cross documents.  Earlier means a smaller doc_id, or the same
-document and an earlier start.  Rows that share a doc_id keep their own texts, but none is earlier than the other and
-ranges found in one are removed from each.  A text below MIN_BYTES loses nothing.
+document and an earlier start.  Rows that share a doc_id are documents of their own, in an order that is kept for the run.
+Rows without doc_id lose nothing and make none lose anything.  A text below MIN_BYTES loses nothing; texts of up to 2 GB, all
+that a row can hold, are taken whole.  Ties cannot occur, since places differ.  Other columns are neither needed nor touched,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +32,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bound_batches, materialize, shuffle_slices, tidy
+from .common import bound_batches, lookup_few, materialize, quoted, slices_for, tidy, unique_ids
 from .words import Words, blocks, mix
 
 MIN_BYTES, K = 100, 32
 #: Entries of the table of frequent anchors, 8 bytes each; and bytes of spans that are sorted at a time.
 MAX_FREQUENT, SORT_BYTES = 65_536, 1_000_000
-_PLACE = 28
+_PLACE = 31  # bits of a place in a text
 _EMPTY = np.zeros(0, np.int64)
 
 
@@ -112,7 +122,7 @@ def deal(docs: DataFrame, frequent: np.ndarray, slices: int) -> DataFrame:
         hot = known.value
         for batch in batches:
             parts = []
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            ids = batch.column(0).to_numpy()
             for at, raws in blocks(batch.column(1)):
                 texts, doc, first, windows, place = spans(raws)
                 if not len(doc):
@@ -261,18 +271,22 @@ def _cells(lists: pa.ListArray, *fields: str):
         yield [v[at[i] : at[i + 1]] if there else _EMPTY for v in values]
 
 
-def compare(docs: DataFrame, mixed: DataFrame, slices: int) -> DataFrame:
+def compare(docs: DataFrame, mixed: DataFrame, slices: int, sort_bytes: int) -> DataFrame:
     """Ranges among the spans whose anchors have several: their texts are fetched and met by anchor."""
-    per_doc = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("cuts"))  # no more than a text has spans
+    size = mixed.groupBy("anchor").agg(F.sum(F.col("end") - F.col("start")).alias("size")).where(F.col("size") > sort_bytes)
+    mixed = mixed.join(size, "anchor", "left").select("doc_id", "anchor", "start", "end", F.col("size").isNotNull().alias("large"))
+    per_doc = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "end", "large")).alias("cuts"))  # no more than a text has spans
 
     def fetch(batches):
         for batch in batches:
             out = [[], [], [], []]
-            cuts = _cells(batch.column(2), "anchor", "start", "end")
-            for doc_id, raw, (anchors, starts, ends) in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), cuts, strict=True):
-                for anchor, start, end in zip(anchors.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                    if end <= len(raw):
-                        for column, value in zip(out, (anchor, doc_id, start, raw[start:end]), strict=True):
+            cuts = _cells(batch.column(2), "anchor", "start", "end", "large")
+            for doc_id, raw, (anchors, starts, ends, large) in zip(batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), cuts, strict=True):
+                for anchor, start, end, split in zip(anchors.tolist(), starts.tolist(), ends.tolist(), large.tolist(), strict=True):
+                    # the windows of a large anchor go by hashes of their own
+                    for a, b in [(k, k + MIN_BYTES) for k in range(start, end - MIN_BYTES + 1)] if split else [(start, end)]:
+                        name = xxhash.xxh3_64_intdigest(raw[a:b], anchor & 0xFFFFFFFF) - (1 << 63) if split else anchor
+                        for column, value in zip(out, (name, doc_id, a, raw[a:b]), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "span"])
 
@@ -291,51 +305,64 @@ def compare(docs: DataFrame, mixed: DataFrame, slices: int) -> DataFrame:
                 for column, values in zip(held, batch.slice(a, 2000).columns, strict=True):
                     column += values.to_pylist()
                 size = sum(map(len, held[3]))
-                if size >= SORT_BYTES:
+                if size >= sort_bytes:
                     upto = len(held[0])
                     while upto and held[0][upto - 1] == held[0][-1]:
                         upto -= 1
                     if upto:
                         yield flush(upto)
+                    elif len(set(map(len, held[3]))) == 1:  # windows of one hash, the earliest first: it stays for what comes
+                        first = {}
+                        for i, span in enumerate(held[3]):
+                            first.setdefault(span, i)
+                        earliest = [[column[i] for i in first.values()] for column in held]
+                        yield flush(len(held[0]))
+                        held[:] = earliest
         if held[0]:
             yield flush(len(held[0]))
 
-    fetched = docs.join(per_doc, "doc_id").select("doc_id", "text", "cuts").mapInArrow(tidy(fetch), "anchor long, doc_id long, start long, span binary")
-    return fetched.repartition(slices, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(sort), "doc_id long, start long, end long")
+    fetched = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "cuts").mapInArrow(tidy(fetch), "anchor long, doc_id long, start long, span binary")
+    return fetched.repartition(slices, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(tidy(sort), "doc_id long, start long, end long")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep_columns: bool = False, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, what is left; a character
-    that lost some of its bytes is left out of that text."""
+    that lost some of its bytes is left out of that text.  keep_columns: all columns of docs instead, with what is left as text."""
     spark = docs.sparkSession
     bound_batches(spark)
-    slices = shuffle_slices(spark)
-    docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
+    names = docs.columns
+    others = [c for c in names if c != text_col]
+    rest = F.struct(*quoted(others)) if keep_columns else F.lit(None).cast("struct<none:int>")
+    whole = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    whole = unique_ids(whole, "own_id", "doc_id")
+    docs = whole.where("doc_id is not null").select("doc_id", "text")
+    slices = slices_for(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0])  # a span of 27 bytes for 35 of text
     found = materialize(collapse(deal(docs, frequent_anchors(docs), slices), slices), "spans")
-    ranges = materialize(compare(docs, found.where("anchor is not null"), slices), "ranges")
+    ranges = materialize(compare(docs, found.where("anchor is not null"), slices, sort_bytes), "ranges")
     lost = found.where("anchor is null").select("doc_id", "start", "end").union(ranges)
-    per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
+    per_doc = materialize(lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("lost")), "lost-ranges")
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for raw, (start, end) in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), _cells(batch.column(2), "start", "end"), strict=True):
+            for raw, (start, end) in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), _cells(batch.column(3), "start", "end"), strict=True):
                 kept, removed, many, at = [], 0, 0, 0
                 if len(start):
                     _, start, end = merge(np.zeros(len(start), np.int64), start, end)
-                    for a, b in zip(start.tolist(), np.minimum(end, len(raw)).tolist(), strict=True):
-                        if a < b:
-                            kept.append(raw[at:a])
-                            removed, many, at = removed + b - a, many + 1, b
+                    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+                        kept.append(raw[at:a])
+                        removed, many, at = removed + b - a, many + 1, b
                 kept = b"".join([*kept, raw[at:]])
-                for column, value in zip(out, (len(raw), removed, many, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else ""), strict=True):
+                text = kept.decode("utf-8", "ignore") if with_text or keep_columns else ""
+                for column, value in zip(out, (len(raw), removed, many, hashlib.sha256(kept).hexdigest(), text), strict=True):
                     column.append(value)
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                arrays.append(pa.array(out[4], pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)
+            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "rest"])
+
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, rest {whole.schema['rest'].dataType.simpleString()}"
+    if keep_columns:  # names may hold anything, so a schema and not a string
+        schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields, whole.schema["rest"]])
+    out = lookup_few(whole, per_doc, "doc_id").select("own_id", "text", "rest", "lost").mapInArrow(tidy(run), schema)
+    if keep_columns:
+        return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in names])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else []))
