@@ -6,7 +6,10 @@ does not depend on partitions.  Rows whose crc32(doc_id as text) mod 3 is 1 are
 scores) runs over all documents.  Inputs of a score are statistics of the text alone.
 
 Null texts count as empty and get a score like any other.  Without any usable label all scores are 0.5.  Labels that are
-null are left out; of several labels of a document, the mean decides.
+null are left out; of several labels of a document, the mean decides.  Rows that share a doc_id are scored one by one; where
+it is labelled, the one with the smallest statistics trains, whatever the partitions.  A null doc_id is held out of training.
+Texts of any length count whole.  Other columns are neither needed nor touched, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bound_batches, tidy
 from .words import Words, blocks, rolling
@@ -170,21 +174,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Tree
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # max_rows rows of 12 bytes at most
-    rows = docs.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "quality").mapInArrow(tidy(run), "doc_id long, quality int, x binary").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = docs.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "quality").mapInArrow(tidy(run), "doc_id long, quality int, x binary")
+    # of rows that share a doc_id, the one with the smallest statistics
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("doc_id", "least.*").toPandas().sort_values("doc_id")
     x = np.stack([np.frombuffer(b) for b in rows["x"]]) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["quality"].to_numpy(np.float64))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, keep_columns: bool = False) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted; keep_columns: all of docs' columns and score."""
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, keep_columns: str = "") -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted; keep_columns: all of docs' columns and the score by that name."""
     bound_batches(docs.sparkSession)
     plain = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     model = train(plain, labels, max_rows)
     known = docs.sparkSession.sparkContext.broadcast(model)  # some tens of kB, whatever the input
-    if keep_columns:
-        at = docs.columns.index("text")
-        source, schema = docs, ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes) + ", _score double"
+    if keep_columns:  # plain names on the way, since those of docs may hold anything
+        at, source = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        schema = StructType([*source.schema.fields, StructField("score", DoubleType())])
     else:
         at, source, schema = 1, plain, "doc_id long, score double"
 
@@ -192,11 +197,11 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, keep
         for batch in batches:
             score = pa.array(known.value.score(_matrix(batch.column(at))), pa.float64())
             if keep_columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), score], ["doc_id", "score"])
 
     out = source.mapInArrow(tidy(run), schema)
     if keep_columns:
-        return out
+        return out.toDF(*docs.columns, keep_columns)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
