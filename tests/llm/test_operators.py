@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quarrymill.llm import byte_bpe, components, exact_dedup, licenses, line_dedup, ngram_join, packing, quality, repetition, substring_dedup, token_shards  # noqa: E402
+from quarrymill.llm import byte_bpe, common, components, exact_dedup, licenses, line_dedup, ngram_join, packing, quality, repetition, substring_dedup, token_shards  # noqa: E402
 from quarrymill.llm.bpe import json_encoder, rank_encoder, read_ranks  # noqa: E402
 
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -77,13 +77,17 @@ def ids(rows):
     return {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
 
 
-def test_encoders_match_the_libraries():
+#: Spaces, marks, format characters and letters whose neighbourhood decides where a piece ends.
+BITS = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "'", ".", "...", "_", ":", "/", "é", "日本", "1", "¼", "<|endoftext|>", "\x00", "\x01", "\x02", "\x1c", "\x85", "\xa0", "\xad", "🙂", "e\u0301", "\r\n", "\u1680", "\u180e", "\u2003", "\u200b", "\u200d", "\u200e", "\u2028", "\u202f", "\u2060", "\u2063", "\u3000", "\ufeff"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_encoders_match_the_libraries(seed):
     import tiktoken
     from tokenizers import Tokenizer
 
-    rng = random.Random(1)
-    bits = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "'", ".", "...", "é", "日本", "　", "\xa0", "\x85", "\x1c", "​", "1", "<|endoftext|>", "\x01", "\x02", "🙂", "é", "\r\n", "\x00"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(1500)] + [None, "", " lead", "trail \n"]
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(25))) for _ in range(12_500)] + [None, "", " lead", "trail \n", "è_:o_/\u200b"]
     texts += ["".join(rng.choice("abcdefghinorst") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
     for encoder, want in ((json_encoder(JSON), lambda t, e=Tokenizer.from_file(JSON): e.encode(t, add_special_tokens=False).ids), (rank_encoder(RANKS, PATTERN)[0], lambda t, e=tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={}): e.encode_ordinary(t))):
         found, off = encoder.encode(pa.array(texts))
@@ -196,12 +200,20 @@ def test_line_dedup(docs, empty, rows):
     assert line_dedup.dedup(empty).count() == 0
 
 
-def test_line_dedup_by_the_shuffle_join(docs, monkeypatch):
+def test_line_dedup_with_a_full_filter(docs, monkeypatch):
+    """A filter that is far too small lets nearly all lines through; the result is the same."""
     before = sorted(map(tuple, line_dedup.dedup(docs).collect()))
-    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_HASHES", -1)
+    monkeypatch.setattr(common, "MAX_FILTER_WORDS", 1)
     assert sorted(map(tuple, line_dedup.dedup(docs).collect())) == before
 
 
+def test_line_dedup_of_shared_and_missing_ids(spark):
+    line = "a line that is long enough"
+    rows = [(1, f"{line}\nx"), (1, line), (2, f"{line}\ny"), (None, line), (None, f"{line}\nz"), (3, None)]
+    found = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    assert found == [(0, 1, 0, line), (0, 2, 0, f"{line}\nz"), (1, 1, 0, line), (1, 2, 0, f"{line}\nx"), (2, 2, 1, "y"), (3, 1, 0, "")]
+
+
 def test_line_dedup_filters_lose_no_repeat(monkeypatch):
     """Filters of one bit a hash give false alarms all the time; they may add suspects, but take none away."""
 
@@ -292,6 +304,26 @@ def test_substring_dedup(docs, empty, rows):
     assert substring_dedup.remove(empty).count() == 0
 
 
+def test_substring_dedup_of_a_large_anchor(spark):
+    """Spans of one anchor above the size of a block are dealt window by window."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(5, 30))) + passage[rng.randrange(40) : 160 - rng.randrange(10)] + str(i)) for i in range(150)]
+    found = by_id(substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sort_bytes=600))
+    for i, (raw, gone) in windows_removed(rows).items():
+        assert found[i]["kept_sha256"] == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def test_substring_dedup_of_shared_and_missing_ids(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    rows = [(None, a), (None, a), (1, a), (2, "x" + a), (5, b), (5, "y" + b), (5, "clean"), (7, b[:99])]
+    out = substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    found = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert found[None, a] == 2 and found[1, a] == 1 and found[2, "x"] == 1 and found[5, "clean"] == found[7, b[:99]] == 1
+    assert sum(r["n_removed"] for r in out if r["doc_id"] == 5) == 150 and {(5, b), (5, "y" + b)} & set(found)
+
+
 def test_interval_expansion_finds_all_repeats():
     rng = np.random.default_rng(4)
     for size, symbols, threshold in ((50, 2, 3), (400, 3, 6), (1000, 2, 12), (300, 1, 20)):
@@ -344,19 +376,66 @@ def sets_and_components(rows):
     return sets, {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("few", [False, True])
-def test_ngram_join(docs, empty, rows, monkeypatch, few):
-    if few:  # the ways for many documents, on few
-        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
-        monkeypatch.setattr(ngram_join, "LEAF", 2)
-        monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", -1)
-    found = by_id(ngram_join.link(docs))
+#: Limits that send a few documents the ways of many.
+SMALL = {"part_docs": 2, "part_bytes": 3000, "family_docs": 2, "hot_entries": 2}
+
+
+@pytest.mark.parametrize("limits", [{}, SMALL])
+def test_ngram_join(docs, empty, rows, limits):
+    found = by_id(ngram_join.link(docs, **limits))
     sets, expected = sets_and_components(rows)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == {i: (len(sets[i]), expected[i]) for i in sets}
-    if not few:
+    if not limits:
         assert ngram_join.link(empty).count() == 0
 
 
+def _near(seed: int, n: int, edits: int) -> list[tuple[int, str]]:
+    """Copies of one text with so many words changed: some pairs are similar, others not."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"part_docs": 40, "part_bytes": 20_000, "family_docs": 30, "hot_entries": 25}])
+def test_ngram_join_of_a_group_of_near_copies(spark, limits):
+    rows = _near(11, 200, 5)
+    _, expected = sets_and_components(rows)
+    found = by_id(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), **limits))
+    assert {i: r["component_id"] for i, r in found.items()} == expected
+    assert 1 < len(set(expected.values())) < 200
+
+
+@pytest.mark.parametrize("n", [500, 1000, 2000])
+def test_rows_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch, n):
+    """Whatever a step hands on stays in proportion to the group, not to its pairs."""
+    counts = {}
+
+    def counted(df, name):
+        out = common.materialize(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    found = ngram_join.link(spark.createDataFrame(_near(5, n, 6), "doc_id long, text string"))
+    assert found.count() == n
+    dealt = 18 * n  # |x| - ceil(0.8 |x|) + 1 of 76 shingles, and some
+    assert counts["relatives"] <= 2 * dealt and counts["members"] <= n and counts["family-links"] < n
+
+
+def test_ngram_join_of_shared_and_missing_ids(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a)), (3, near(b)), (None, near(b) + " more"), (None, "c d e f g h"), (None, None), (9, None), (7, "a b")]
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 0, 0), (0, 2, 0), (0, 57, 2), (2, 56, 2), (3, 56, 2), (5, 56, 2), (5, 56, 2), (7, 1, 7), (9, 0, 9)]
+
+
 def test_tree_bounds_lose_nothing():
     rng = np.random.default_rng(5)
     points = rng.poisson(4, (300, ngram_join.GROUPS)).astype(np.uint16)
@@ -399,6 +478,21 @@ def test_exact_dedup_of_a_hot_group(spark):
     assert [i for i, r in found.items() if r["kept"] and i < 1000] == [1] and all(found[1000 + i]["group_size"] == 1 for i in range(50))
 
 
+def test_exact_dedup_of_a_hot_text_under_one_id(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY_SHARE", 2)
+    rows = [(4, "hot text")] * 300 + [(None, "cold")] * 2
+    found = exact_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found) == {(4, 4, 300, True): 1, (4, 4, 300, False): 299, (None, None, 2, True): 1, (None, None, 2, False): 1}
+
+
+def test_classifier_of_shared_ids(spark):
+    """Rows that share a labelled doc_id train as one, and always the same one."""
+    rows = [(i % 40, " ".join(f"w{(i * k) % 17}" for k in range(5 + i % 9))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    first, second = (sorted((r["doc_id"], r["score"]) for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels).collect()) for n in (1, 7))
+    assert len(first) == 400 and first == second
+
+
 def test_repeated_rows_and_null_keys(spark, tmp_path):
     """No operator fails on repeated rows or on a null doc_id, and none loses a row."""
     text = " ".join(f"w{i}" for i in range(80))

@@ -48,3 +48,26 @@ def test_stages(spark, sf_dir):
     packed = stages["best-fit packing"](spark, short, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == set(want)
     assert pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_stages_of_awkward_tables(spark, sf_dir):
+    """Null and shared doc_ids, repeated rows, names that clash or hold dots, empty tables: every stage keeps its columns."""
+    import random
+
+    rng = random.Random(3)
+    alpha, beta = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)) for _ in range(2))
+    schema = "doc_id long, text string, _score double, `a.b` string, sha string, key string, lost string, rest string, n_chars int"
+    rows = [(1, alpha), (5, beta), (5, alpha), (5, beta + "  "), (5, beta), (None, alpha), (None, "own text of a row without an id"), (8, None), (8, ""), (9, beta + " end")]
+    docs = spark.createDataFrame([(i, t, 0.1, "dot", None, None, "lost", None, len(t or "")) for i, t in rows], schema).repartition(3)
+    stages = dict(pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.where("`a.b` = 'dot'").count() == out.count()
+        assert stages[name](spark, docs.where("false"), sf_dir).count() == 0
+    unique = sorted(((r["doc_id"] or 0, r["text"]) for r in stages["exact dedup"](spark, docs, sf_dir).collect()), key=str)
+    assert len(unique) == 5 and {t for _, t in unique} - {"", None} == {alpha, beta + "  ", "own text of a row without an id", beta + " end"}
+    near = [(r["doc_id"], r["text"]) for r in stages["n-gram Jaccard join"](spark, docs, sf_dir).collect()]
+    assert sorted(i or 0 for i, _ in near) == [0, 0, 1, 8, 8]
+    short = [(r["doc_id"], r["text"], r["n_chars"]) for r in stages["suffix-array dedup"](spark, docs, sf_dir).collect()]
+    assert len(short) == len(rows) and all(n == len(t or "") for _, t, n in short) and [t for i, t, _ in short if i is None and t.startswith("own")]
+    assert stages["best-fit packing"](spark, docs, sf_dir).groupBy("doc_id").count().count() == 5
