@@ -129,16 +129,30 @@ def _kept_by(docs: DataFrame, key: str, holds, wanted: bool) -> DataFrame:
     return docs.select("*", F.xxhash64(key).alias("_hashed")).mapInArrow(tidy(run), docs.schema)
 
 
-def likely(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key is in ids, and a few others; null is a key like others."""
-    return _kept_by(docs, key, broadcast_filter(ids, F.xxhash64(key)), True)
+def lookup_few(docs: DataFrame, table: DataFrame, key: str, step, schema) -> DataFrame:
+    """docs left-joined with a table that has one row a key, then step over Arrow batches of docs' columns and table's others.
 
-
-def lookup_few(docs: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """docs left-joined with a table that has one row a key: rows that surely have none pass by the shuffle."""
+    Rows that surely have no row in the table pass by the shuffle: they meet the step at once, with nulls.  No stage holds
+    more than one Python worker a task.
+    """
     holds = broadcast_filter(table.select(key), F.xxhash64(key))
-    found = _kept_by(docs, key, holds, True).join(table, key, "left")
-    return found.unionByName(_kept_by(docs, key, holds, False), allowMissingColumns=True)
+    others = [f for f in table.schema.fields if f.name != key]
+
+    def without(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~holds(batch.column(batch.num_columns - len(others) - 1).to_numpy().view(np.uint64))))
+
+    names = [*docs.columns, *[f.name for f in others]]
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in others]
+    passed = docs.select("*", F.xxhash64(key).alias("_hashed"), *nulls)
+    found = _kept_by(docs, key, holds, True).join(table.hint("merge"), key, "left").select(*names).mapInArrow(tidy(step), schema)
+
+    def run(batches):
+        for batch in without(batches):
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_hashed"]
+            yield from step(iter([pa.RecordBatch.from_arrays(columns, names)]))
+
+    return found.union(passed.mapInArrow(tidy(run), schema))
 
 
 def unique_ids(docs: DataFrame, id_col: str, new_col: str) -> DataFrame:

@@ -172,4 +172,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 names.append("text")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return lookup_few(docs, materialize(per_doc, "lost-lines"), "doc_id").select("doc_id", "text", "lost").mapInArrow(tidy(run), schema)
+    return lookup_few(docs, materialize(per_doc, "lost-lines"), "doc_id", run, schema)

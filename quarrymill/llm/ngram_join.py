@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, likely, materialize, skew_safe_lookup, slices_for, tidy
+from .common import bound_batches, broadcast_filter, discard, materialize, skew_safe_lookup, slices_for, tidy
 from .components import components
 from .words import Words, blocks, mix, rolling
 
@@ -428,16 +428,19 @@ def relatives(cells: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """node, shingles: the sets of members (node, doc_id, h1, h2)."""
 
+    holds = broadcast_filter(members, F.xxhash64("doc_id"))
+
     def run(batches):
         for batch in batches:
-            for _, raws in blocks(batch.column(1)):
+            batch = batch.filter(pa.array(holds(batch.column(1).to_numpy().view(np.uint64))))
+            for _, raws in blocks(batch.column(0)):
                 doc, hashes = shingle_sets(raws)
                 n = np.bincount(doc, minlength=len(raws))
                 h1, h2 = set_digests(hashes, n)
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["h1", "h2", "shingles"])
 
-    sets = likely(docs, members, "doc_id").mapInArrow(tidy(run), "h1 long, h2 long, shingles binary")
+    sets = docs.select("text", F.xxhash64("doc_id").alias("hashed")).mapInArrow(tidy(run), "h1 long, h2 long, shingles binary")
     return sets.join(members.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles")
 
 

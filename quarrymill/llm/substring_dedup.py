@@ -345,7 +345,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for raw, (start, end) in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), _cells(batch.column(3), "start", "end"), strict=True):
+            for raw, (start, end) in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), _cells(batch.column(4), "start", "end"), strict=True):
                 kept, removed, many, at = [], 0, 0, 0
                 if len(start):
                     _, start, end = merge(np.zeros(len(start), np.int64), start, end)
@@ -362,7 +362,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, rest {whole.schema['rest'].dataType.simpleString()}"
     if keep_columns:  # names may hold anything, so a schema and not a string
         schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields, whole.schema["rest"]])
-    out = lookup_few(whole, per_doc, "doc_id").select("own_id", "text", "rest", "lost").mapInArrow(tidy(run), schema)
+    out = lookup_few(whole.select("own_id", "text", "rest", "doc_id"), per_doc, "doc_id", run, schema)
     if keep_columns:
         return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in names])
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else []))
