@@ -67,20 +67,37 @@ def type_label(kind: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in fixed.TYPE_LABELS.items() for x in pair]), kind)
 
 
-def intent_signals(text: Column) -> Column:
-    """Ids of the rules that fit, in their order."""
-    return F.array_compact(F.array(*[F.when(has(text, pattern), rule) for rule, _, pattern in fixed.INTENT_RULES]))
+def _signals(text: Column) -> list[Column]:
+    return [has(text, pattern) for _, _, pattern in fixed.INTENT_RULES]
+
+
+def with_intent(df: DataFrame, text: str) -> DataFrame:
+    """df with intent: struct(score, signals, evidence), evidence in the order of signals.
+
+    White space is collapsed first.  The clean text and one flag a rule are columns of their own, so each pattern runs once
+    a row; only the rules that fit are asked for their place.
+    """
+    df = df.withColumn("_clean", F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")))
+    names = [f"_signal_{rule}" for rule, _, _ in fixed.INTENT_RULES]
+    df = df.withColumns(dict(zip(names, _signals(F.col("_clean")), strict=True)))
+    score = F.lit(0)
+    for name, (_, strength, _) in zip(names, fixed.INTENT_RULES, strict=True):
+        score = score + F.when(F.col(name), fixed.INTENT_POINTS[strength]).otherwise(0)
+    found = [F.when(F.col(n), F.lit(rule)) for n, (rule, _, _) in zip(names, fixed.INTENT_RULES, strict=True)]
+    shown = [F.when(F.col(n), intent_evidence(F.col("_clean"), i)) for i, n in enumerate(names)]
+    intent = F.struct(F.least(score, F.lit(100)).alias("score"), F.array_compact(F.array(*found)).alias("signals"), F.array_compact(F.array(*shown)).alias("evidence"))
+    return df.withColumn("intent", intent).drop("_clean", *names)
 
 
 def intent_score(text: Column) -> Column:
-    total = F.lit(0)
-    for _, strength, pattern in fixed.INTENT_RULES:
-        total = total + F.when(has(text, pattern), fixed.INTENT_POINTS[strength]).otherwise(0)
+    text, total = F.regexp_replace(text, r"\s+", " "), F.lit(0)
+    for (_, strength, _), hit in zip(fixed.INTENT_RULES, _signals(text), strict=True):
+        total = total + F.when(hit, fixed.INTENT_POINTS[strength]).otherwise(0)
     return F.least(total, F.lit(100))
 
 
 def intent_evidence(text: Column, rule: int) -> Column:
-    """20 characters before a rule's first match and 80 from it on."""
+    """20 characters before a rule's first match and 80 from it on, of a text with single spaces."""
     place = F.regexp_instr(text, F.lit(f"(?i){fixed.INTENT_RULES[rule][2]}"))
     start = F.greatest(place - 20, F.lit(1))
     return F.when(place > 0, F.trim(F.substring(text, start, place + 80 - start)))

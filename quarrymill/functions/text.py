@@ -148,20 +148,24 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+# fixed values: entities of mail texts, and where a quoted thread begins, in the order in which it is looked for
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " "}
+QUOTED_THREADS = [r"\s+On\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+[\s\S]+?\s+wrote:\s*", r"\s+On\s+[\s\S]+?\s+wrote:\s*", r"\n-{3,}\s*Original Message\s*-{3,}", r"\nFrom:\s*.+\nSent:", r"\n_{3,}"]
+
+
 def decode_entities(text: Column) -> Column:
-    for entity, char in {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " "}.items():
+    for entity, char in ENTITIES.items():
         text = F.regexp_replace(text, f"(?i){entity}", char)
     return text
 
 
 def strip_quoted(text: Column) -> Column:
-    """The text before the first quoted thread, without lines that begin with >."""
-    clean = F.trim(F.replace(text, F.lit("\r\n"), F.lit("\n")))
-    for pattern in (r"\s+On\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+[\s\S]+?\s+wrote:\s*", r"\s+On\s+[\s\S]+?\s+wrote:\s*", r"\n-{3,}\s*Original Message\s*-{3,}", r"\nFrom:\s*.+\nSent:", r"\n_{3,}"):
-        place = F.regexp_instr(clean, F.lit(f"(?i){pattern}"))
-        clean = F.when(place > 1, F.trim(F.substring(clean, F.lit(1), place - 1))).otherwise(clean)
-    lines = F.filter(F.split(clean, "\n"), lambda line: ~F.ltrim(line).startswith(">"))
-    return F.trim(F.array_join(lines, "\n"))
+    """The text before the quoted thread that the first fitting pattern finds, without lines that begin with >."""
+    clean = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
+    places = [F.regexp_instr(clean, F.lit(f"(?i){pattern}")) for pattern in QUOTED_THREADS]
+    cut = F.coalesce(*[F.when(place > 1, place) for place in places])
+    lines = F.filter(F.split(F.when(cut.isNotNull(), F.substring(clean, F.lit(1), cut - 1)).otherwise(clean), "\n"), lambda line: ~F.ltrim(line).startswith(">"))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
 def snippet(text: Column, most: int = 500) -> Column:

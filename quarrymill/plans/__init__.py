@@ -1,5 +1,5 @@
 """Queries over the model; importing a module registers its queries."""
 
-from . import dashboard, functions, matching, ranks, relations, relevance, scores
+from . import dashboard, functions, hits, matching, pages, people, ranks, relations, relevance, scores, small_rules
 
-__all__ = ["dashboard", "functions", "matching", "ranks", "relations", "relevance", "scores"]
+__all__ = ["dashboard", "functions", "hits", "matching", "pages", "people", "ranks", "relations", "relevance", "scores", "small_rules"]

@@ -84,7 +84,6 @@ _projection("STR25_snippet", "documents", "doc_id", {"cut": (lambda: text.snippe
 _projection("STR27_suggestions", "searches", "search_id", {"prefix": (lambda: F.startswith(F.lower(C("name")), F.lit("b")), "starts_with(lower(name), 'b')"), "inside": (lambda: F.contains(F.lower(C("name")), F.lit("an")), "contains(lower(name), 'an')"), "distance": (lambda: F.levenshtein(F.lower(C("industry")), F.lit("brand#1")), "levenshtein(lower(industry), 'brand#1')")})
 _projection("STR28_initials", "contacts", "contact_id", {"initials": (lambda: F.upper(F.concat(F.substring(text.first_name(C("full_name")), 1, 1), F.substring(text.last_name(C("full_name")), 1, 1))), "'FL'"), "masked": (lambda: F.concat(F.lit("…"), F.right(C("full_name"), F.lit(4))), "'…' || right(full_name, 4)")})
 _projection("STR31_messages", "contacts", "contact_id", {"message": (lambda: F.try_element_at(F.create_map(*[F.lit(x) for x in ("valid", "Deliverable", "invalid", "Undeliverable", "catch_all", "Accepts all")]), C("email_status")), "CASE email_status WHEN 'valid' THEN 'Deliverable' WHEN 'invalid' THEN 'Undeliverable' WHEN 'catch_all' THEN 'Accepts all' END")})
-_projection("STR22_lookup", "companies", "company_id", {"number": (lambda: F.try_element_at(F.create_map(*[F.lit(x) for i in range(20) for x in (f"NATION_{i}", f"N{i:02d}")]), C("country")), "CASE WHEN CAST(replace(country, 'NATION_', '') AS INTEGER) < 20 THEN 'N' || lpad(replace(country, 'NATION_', ''), 2, '0') END")})
 
 _EMAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 _projection("HTM1_emails", "documents", "doc_id", {"emails": (lambda: F.array_join(F.array_sort(text.emails_in(C("text"))), " "), f"array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '{_EMAIL}')), lambda e: NOT regexp_matches(lower(e), 'example\\.com|sentry|\\.png$|\\.jpg$'))), ' ')")})
@@ -128,13 +127,27 @@ _TYPE = f"""CASE WHEN coalesce(domain, '') IN ({", ".join(f"'{d}'" for d in fixe
  WHEN coalesce(domain, '') IN ({", ".join(f"'{d}'" for d in fixed.INVESTMENT_DOMAINS)}) OR {_has(_TEXT, fixed.INVESTMENT_FIRMS)} THEN 'investment_firm' WHEN {_has(_TEXT, fixed.ACCELERATORS)} THEN 'accelerator'
  WHEN {_has(_TEXT, fixed.VENTURE)} AND NOT {_has(_TEXT, fixed.HAS_PRODUCT)} THEN 'vc' {" ".join(f"WHEN {_has(_TEXT, p)} THEN '{k}'" for k, p in fixed.COMPANY_TYPES)} ELSE 'operating_company' END"""
 _projection("CLS3_company_type", "companies", "company_id", {"kind": (lambda: rules.company_type(rules.company_text(), C("domain")), _TYPE), "label": (lambda: rules.type_label(rules.company_type(rules.company_text(), C("domain"))), f"CASE {_TYPE} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.TYPE_LABELS.items()) + " END")})
-_SCORE = "least(100, " + " + ".join(f"CASE WHEN {_has('{0}', p)} THEN {fixed.INTENT_POINTS[s]} ELSE 0 END" for _, s, p in fixed.INTENT_RULES).replace("{0}", "description") + ")"
-_SIGNALS = "concat_ws(',', " + ", ".join(f"CASE WHEN {_has('description', p)} THEN '{r}' END" for r, _, p in fixed.INTENT_RULES) + ")"
-_projection("CLS5_intent", "companies", "company_id", {"score": (lambda: rules.intent_score(C("description")), _SCORE), "signals": (lambda: F.array_join(rules.intent_signals(C("description")), ","), _SIGNALS)})
-_projection("CLS5_intent_documents", "documents", "doc_id", {"score": (lambda: rules.intent_score(C("text")), _SCORE.replace("description", "text")), "signals": (lambda: F.array_join(rules.intent_signals(C("text")), ","), _SIGNALS.replace("description", "text"))})
+_CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_SCORE = "least(100, " + " + ".join(f"CASE WHEN {_has(_CLEAN.format('description'), p)} THEN {fixed.INTENT_POINTS[s]} ELSE 0 END" for _, s, p in fixed.INTENT_RULES) + ")"
+_SIGNALS = "concat_ws(',', " + ", ".join(f"CASE WHEN {_has(_CLEAN.format('description'), p)} THEN '{r}' END" for r, _, p in fixed.INTENT_RULES) + ")"
+
+
+def _intent(name: str, source: str, key: str, column: str):
+    """score and signals of a table's text, each pattern once a row."""
+
+    def run(spark, sf_dir):
+        rows = getattr(model, source)(spark, sf_dir) if source in model.VIEWS else model.table(spark, sf_dir, source)
+        rows = rules.with_intent(rows.select(key, column), column)
+        return rows.select(key, C("intent.score").alias("score"), F.array_join("intent.signals", ",").alias("signals"))
+
+    run.__name__ = name
+    query(name, with_views(f"SELECT {key}, {_SCORE.replace('description', column)} AS score, {_SIGNALS.replace('description', column)} AS signals FROM {source}"))(run)
+
+
+_intent("CLS5_intent", "companies", "company_id", "description")
+_intent("CLS5_intent_documents", "documents", "doc_id", "text")
 _MAIL = "coalesce(email <> '', false)"
 _PLACE = f"(NOT contains(lower(trim(email)), '@') OR {_has('lower(trim(email))', '(' + '|'.join(fixed.PLACEHOLDER_EMAILS) + ')')})"
-_projection("CLS6_quality_tier", "contacts", "contact_id", {"tier": (lambda: F.when(F.coalesce(C("email") != "", F.lit(False)), F.when(text.is_placeholder(C("email")), F.when(C("linkedin_url") != "", "medium").otherwise("low")).otherwise("low")).when(F.coalesce(C("linkedin_url") != "", F.lit(False)), "medium").otherwise("low"), f"CASE WHEN {_MAIL} THEN CASE WHEN {_PLACE} AND linkedin_url <> '' THEN 'medium' ELSE 'low' END WHEN linkedin_url <> '' THEN 'medium' ELSE 'low' END")})
 _projection("CLS8_display_status", "contacts", "contact_id", {"display": (lambda: rules.display_status(text.email_ok(C("email")), F.when(C("contact_id") % 7 != 0, C("contact_id") % 6 != 0), F.when(C("contact_id") % 5 == 0, "verified").when(C("contact_id") % 5 == 1, "invalid"), C("contact_id") % 2 == 0), f"""CASE WHEN NOT {_OK} OR (contact_id % 7 <> 0 AND contact_id % 6 = 0) THEN 'invalid'
  WHEN contact_id % 2 = 0 THEN CASE WHEN contact_id % 5 = 0 THEN 'likely_valid' WHEN contact_id % 7 <> 0 THEN 'risky' ELSE 'unknown' END
  WHEN contact_id % 5 = 0 THEN 'verified' WHEN contact_id % 5 = 1 THEN 'invalid' WHEN contact_id % 7 <> 0 THEN 'likely_valid' ELSE 'not_found' END""")})
@@ -151,14 +164,10 @@ _TECH = lambda w: f"(len(list_filter(technologies, lambda t: contains(lower(t),
 _projection("FLT4_technologies", "companies", "company_id", {"fits": (lambda: rules.technologies_match(C("technologies"), rules.company_text(), ["React", "Python"]), f"{_TECH('react')} AND {_TECH('python')}"), "saas": (lambda: rules.technologies_match(C("technologies"), rules.company_text(), ["SaaS"]), _TECH("saas"))})
 _projection("FLT9_exclusions", "companies", "company_id", {"kept": (lambda: F.lit(True), "true")}, (lambda: ~F.coalesce(F.lower("industry").isin("building"), F.lit(False)) & ~F.coalesce(C("country").contains("NATION_1"), F.lit(False)) & ~F.lower(F.concat_ws(" ", "name", "industry")).contains("machinery"), "NOT coalesce(lower(industry) = 'building', false) AND NOT coalesce(contains(country, 'NATION_1'), false) AND NOT contains(lower(concat_ws(' ', name, industry)), 'machinery')"))
 _projection("FLT18_confidence_gate", "contacts", "contact_id", {"confidence": (lambda: C("confidence"), "confidence")}, (lambda: C("confidence") >= F.when(C("contact_id") % 2 == 0, 25).otherwise(35), "confidence >= CASE WHEN contact_id % 2 = 0 THEN 25 ELSE 35 END"))
-_projection("FLT20_email_predicates", "contacts", "contact_id", {"generic": (lambda: F.regexp_replace(F.regexp_replace(F.lower(F.substring_index("email", "@", 1)), "[._-]", ""), r"\d", "").isin("info", "contact", "sales"), "regexp_replace(regexp_replace(lower(string_split(email, '@')[1]), '[._-]', '', 'g'), '\\d', '', 'g') IN ('info', 'contact', 'sales')")})
 _projection("FLT21_profile_kinds", "companies", "company_id", {"company_page": (lambda: F.coalesce(C("linkedin_url").contains("/company/") & ~C("linkedin_url").contains("/school/"), F.lit(False)), "coalesce(contains(linkedin_url, '/company/') AND NOT contains(linkedin_url, '/school/'), false)")})
 _projection("FLT22_saved_searches", "searches", "search_id", {"name": (lambda: C("name"), "name")}, (lambda: (C("status") == "active") & (C("name").contains("a") | F.exists("keywords", lambda k: k.contains("b"))), "status = 'active' AND (contains(name, 'a') OR len(list_filter(keywords, lambda k: contains(k, 'b'))) > 0)"))
 _projection("FLT23_list_filter", "contacts", "contact_id", {"title": (lambda: C("title"), "title")}, (lambda: F.lower(F.concat_ws(" ", "full_name", "title", "email")).contains("first12 "), "contains(lower(concat_ws(' ', full_name, title, email)), 'first12 ')"))
-_projection("FLT24_robots", "pages", "page_id", {"allowed": (lambda: ~F.exists(F.array(F.lit("/private"), F.lit("/a")), lambda r: F.startswith(F.regexp_replace("url", "^https?://[^/]+", ""), r)), "NOT (starts_with(regexp_replace(url, '^https?://[^/]+', ''), '/private') OR starts_with(regexp_replace(url, '^https?://[^/]+', ''), '/a'))")})
-_projection("FLT26_search_validation", "searches", "search_id", {"problems": (lambda: F.array_join(F.array_compact(F.array(F.when(F.length("name") > 20, "name too long"), F.when(F.size("keywords") > 3, "too many keywords"))), ";"), "concat_ws(';', CASE WHEN length(name) > 20 THEN 'name too long' END, CASE WHEN len(keywords) > 3 THEN 'too many keywords' END)")})
 _projection("FLT29_reply_subject", "conversations", "conv_id, turn".split(", ")[0], {"reply": (lambda: C("text").rlike("(?i)^(re|fwd):"), "regexp_matches(text, '^(re|fwd):', 'i')"), "turn": (lambda: C("turn"), "turn")})
-_projection("SCO11_weights", "region", "r_regionkey", {"industry": (lambda: F.lit(rules.six_weights({"industry": 25, "size": 20, "location": 20, "role": 20, "technology": 15})["industry"]), "13"), "type": (lambda: F.lit(13), "13")})
 
 _FACTORS = f"""SELECT c.contact_id, m.score AS industry, CASE WHEN m.conflict THEN 0.0 WHEN m.score >= 0.5 THEN 1.0 ELSE 0.2 END AS kind,
  CASE WHEN employee_count IS NULL THEN 0.45 WHEN employee_count BETWEEN 50 AND 500 THEN 1.0 ELSE 0.0 END AS size, CASE WHEN country = 'NATION_3' THEN 1.0 ELSE 0.0 END AS place,

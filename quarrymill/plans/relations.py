@@ -255,11 +255,6 @@ _LABELS = {"signup": "Signed up", "purchase": "Bought", "click": "Clicked"}
     """SELECT id, kind, day FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, id) AS nth FROM (SELECT event_id AS id, event_type AS kind, ts, strftime(ts, '%Y-%m-%d') AS day FROM events))
  WHERE nth <= 8 ORDER BY ts DESC, id LIMIT 20""",
 )
-@query(
-    "SET1_event_union",
-    """SELECT id, kind, day FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, id) AS nth FROM (SELECT event_id AS id, event_type AS kind, ts, strftime(ts, '%Y-%m-%d') AS day FROM events))
- WHERE nth <= 8 ORDER BY ts DESC, id LIMIT 20""",
-)
 def activity_feed(spark, sf_dir):
     """Each source gives its newest eight through a top-k, so only a few rows are merged."""
     e = _events(spark, sf_dir)

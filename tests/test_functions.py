@@ -83,7 +83,8 @@ def test_scores_at_their_limits(spark):
 
 def test_intent(spark):
     assert one(spark, rules.intent_score(F.lit("We raised a seed round and are expanding"))) == 55
-    assert one(spark, rules.intent_signals(F.lit("join our team"))) == ["hiring"]
+    rows = rules.with_intent(spark.createDataFrame([("We are \n looking\nfor a vendor; join our team",), (None,)], "text string"), "text").select("intent").collect()
+    assert [tuple(r[0]) for r in rows] == [(55, ["buying_language", "hiring"], ["We are looking for a vendor; join our team", "oking for a vendor; join our team"]), (0, [], [])]
 
 
 def test_csv_both_ways(spark, tmp_path):
