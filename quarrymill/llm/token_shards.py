@@ -9,12 +9,16 @@ A shard file, little-endian:
     block index   for each block: last key (8), offset (8), packed size (4), entries (4), ids (8)
     footer        magic, version, id width, and offset and size of filter and index, counts, first and last key (fixed size)
 
-``write`` deals documents by ranges of doc_id, sorts each range and rolls shards of a bounded size into the shared
-folder; a task writes under a name of its own and renames when done, so a repeated attempt leaves whole files only.
-``read`` walks the shards block by block, ``lookup`` asks the filter, then searches the index by halves.
+``write`` deals documents by ranges of doc_id and a hash of the text, so that an id with very many rows is spread, too;
+it sorts each range and rolls shards of a bounded size and number of keys into the shared folder.  A task writes under a
+name of its own and renames when done, so a repeated attempt leaves whole files only.  Its manifest, a row a shard, is a
+table; how many ids stand before a shard is a prefix sum over it.  ``read`` walks the shards block by block, ``lookup``
+asks the filter, then searches the index by halves.
 
 Null texts count as empty and hold the end id alone.  Rows with a null doc_id sort first under the smallest key.
-Repeated doc_ids are kept as separate entries, ordered by their text.
+Repeated doc_ids are kept as separate entries, ordered by the hash of their text.  Texts of any length are encoded whole.
+Other columns are neither needed nor touched, whatever their names; an empty table gives no shard and an empty result.  The
+folder belongs to the caller: shards are its output and stay.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import json_encoder
-from .common import bound_batches, scratch_path, shuffle_slices, tidy
+from .common import bound_batches, materialize, scratch_path, shuffle_slices, tidy
 
 MAGIC, VERSION, END_ID = b"QMSST001", 1, 2
-BLOCK_IDS, SHARD_IDS, BITS_A_KEY, PROBES = 32_768, 16_000_000, 10, 6
+#: A block is full at so many ids, a shard at so many ids or keys.
+BLOCK_IDS, SHARD_IDS, SHARD_KEYS = 32_768, 16_000_000, 1_000_000
+BITS_A_KEY, PROBES, ROWS = 10, 6, 20_000
 FOOTER = struct.Struct("<8sIIQQQQQQ8s8s")
 INDEX = struct.Struct("<8sQIIQ")
 _MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
@@ -175,8 +181,8 @@ class ShardReader:
         return found
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Writes the shards; its rows, a few for each range, are the manifest in ascending order of part and seq."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Writes the shards when its rows are asked for, which must be once: the manifest, a few rows for each range."""
 
     def run(batches):
         encoder, part, seq, writer, names = json_encoder(tokenizer), TaskContext.get().partitionId(), 0, None, None
@@ -200,25 +206,28 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
                         system.create_dir(root, recursive=True)
                         writer = ShardWriter(system.open_output_stream(names[0]), width)
                     writer.add(-(1 << 63) if key is None else key, ids[a:b])
-                    if writer.n_ids + writer.ids >= shard_ids:
+                    if writer.n_ids + writer.ids >= shard_ids or len(writer.keys) >= shard_keys:
                         yield finish()
                         writer, seq = None, seq + 1
         if writer is not None:
             yield finish()
 
-    rows = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
-    return rows.repartitionByRange(shuffle_slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), _MANIFEST)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(shuffle_slices(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    return ranged.select("doc_id", "text").mapInArrow(tidy(run), _MANIFEST)
 
 
-def read(spark, manifest: list) -> DataFrame:
-    """One row a document, from the files alone; manifest: the rows of write(), of which there is one a shard."""
-    rows, before = [], 0
-    for m in sorted(manifest, key=lambda m: (m["part"], m["seq"])):
-        rows.append((m["path"], before))
-        before += m["n_ids"]
-    shards = spark.createDataFrame(rows, "path string, before long")
-    if rows:
-        shards = shards.repartition(min(len(rows), 4 * shuffle_slices(spark)), "path")
+def read(manifest: DataFrame) -> DataFrame:
+    """One row a document, from the files alone; manifest: the written rows of write()."""
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row a range
+    base = parts.select("part", earlier(Window.orderBy("part")).alias("base"))
+    placed = manifest.withColumn("inside", earlier(Window.partitionBy("part").orderBy("seq"))).join(base, "part")
+    many = min(max(1, manifest.count()), 4 * shuffle_slices(manifest.sparkSession))
+    shards = placed.select("path", (F.col("base") + F.col("inside")).alias("before")).repartition(many, "path")
+
+    def rows_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     def run(batches):
         for batch in batches:
@@ -228,8 +237,11 @@ def read(spark, manifest: list) -> DataFrame:
                     for column, value in zip(out, (key, start, len(ids), zlib.crc32(ids.astype("<u4"))), strict=True):
                         column.append(value)
                     start += len(ids)
+                    if len(out[0]) >= ROWS:
+                        yield rows_of(out)
+                        out = [[], [], [], []]
                 reader.close()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield rows_of(out)
 
     return shards.mapInArrow(tidy(run), _ROWS)
 
@@ -239,5 +251,5 @@ def write_and_read(docs: DataFrame, tokenizer: str, folder: str | None = None, *
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or scratch_path(spark, "token-shards")
-    out = read(spark, write(docs, folder, tokenizer, **options).collect())  # a row a shard
+    out = read(materialize(write(docs, folder, tokenizer, **options), "shard-manifest"))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
