@@ -4,8 +4,9 @@
 ids again through the byte table: characters that are split over ids come back whole, since bytes are joined before
 anything is read as UTF-8.
 
-Nulls and empty texts have no ids.  Rows keep their other columns out of the result; repeated rows give repeated results.
-An empty table gives an empty result.
+Nulls and empty texts have no ids.  A row gives a row, whether its doc_id is null or shared; ties cannot occur.  Texts of any
+length are encoded whole.  Other columns are neither needed nor touched, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

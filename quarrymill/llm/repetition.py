@@ -3,7 +3,9 @@ characters lies inside n-grams that occur again, and inside lines that occur aga
 
 Words are runs of characters that are no ASCII white space.  Hashes of n consecutive words are sums of word hashes times
 powers of an odd constant modulo 2^64, extended from n-1 to n words in one step.  Nulls count as empty texts: no words,
-base_failed true.  A row gives a row; rows with equal ids are independent.
+base_failed true.  A row gives a row, whether its doc_id is null or shared.  Of n-grams that are equally frequent, the one
+with the most characters is the top one.  Texts of any length are measured whole.  Other columns are neither needed nor
+touched, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import bound_batches, tidy
@@ -67,17 +70,18 @@ def measure(raw: bytes) -> tuple:
     repeat_words, coverage, worst, top_share = 0, 0.0, False, 0.0
     if n >= 2:
         with np.errstate(over="ignore"):
-            base = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-            rolling = base
+            base = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+            rolling, ends = base, np.concatenate([[0], np.cumsum(sizes)])
             for k in range(2, max(max(MAX_COVERAGE), WINDOW) + 1):
                 if n < k:
                     break
                 rolling = rolling[:-1] * _FACTOR + base[k - 1 :]
                 if k in MAX_TOP and n >= MIN_TOP_WORDS:
                     values, first, counts = np.unique(rolling, return_index=True, return_counts=True)
-                    best = int(np.argmax(counts))
-                    if counts[best] > 1:
-                        share = counts[best] * int(sizes[first[best] : first[best] + k].sum()) / word_chars
+                    often = int(counts.max())
+                    if often > 1:
+                        at = first[counts == often]
+                        share = often * int((ends[at + k] - ends[at]).max()) / word_chars
                         top_share = max(top_share, share)
                         worst |= share > MAX_TOP[k]
                 elif k in MAX_COVERAGE or k == WINDOW:

@@ -158,16 +158,26 @@ def test_expression_without_a_name():
     assert licenses.parse("AND OR") is None and licenses.parse("") is None
 
 
-def test_tagged_text(spark):
-    text = "x\n# SPDX-License-Identifier: GPL-3.0-or-later OR MIT\n"
-    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert row["labels"] == "gpl-3.0-or-later,mit" and row["score"] == pytest.approx(0.1)
+@pytest.mark.parametrize(("text", "labels", "score"), [
+    ("x\n# SPDX-License-Identifier: GPL-3.0-or-later OR MIT\n", "gpl-3.0-or-later,mit", 0.1),
+    ("é SPDX License Identifier : (MIT OR Apache-2.0) AND BSD-3-Clause", "apache-2.0,bsd-3-clause,mit", 0.1),
+    ("License: GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only", 0.45),
+    ("License: see LICENSE\nSPDX-License-Identifier: see notes", "", 0.0),
+    ("the license MIT, a mitigation license: mitigation", "", 0.0),
+    ("All rights reserved. License: MIT", "mit,proprietary", 1.0),
+    *[(phrase.upper().replace(" ", "-"), label, licenses.restriction(label)) for phrase, label in licenses.NOTICE_PHRASES.items()],
+])
+def test_tagged_text(text, labels, score):
+    found = licenses.scan_text(text.encode(), licenses.automaton([*licenses.BASE_PHRASES, *licenses.NOTICE_PHRASES, *licenses.TAGS]))
+    assert found[5:] == (labels, pytest.approx(score))
 
 
 def test_token_shards(docs, empty, ids, tmp_path):
     folder = f"file://{tmp_path}/shards"
-    manifest = token_shards.write(docs, folder, JSON, shard_ids=20_000).collect()
-    found = {r["doc_id"]: r for r in token_shards.read(docs.sparkSession, manifest).collect()}
+    table = common.materialize(token_shards.write(docs, folder, JSON, shard_ids=20_000, shard_keys=12), "manifest")
+    manifest = table.collect()
+    found = {r["doc_id"]: r for r in token_shards.read(table).collect()}
+    assert max(m["n_docs"] for m in manifest) <= 12
     start = 0
     for key in sorted(ids):
         r = found[key]
@@ -334,6 +344,32 @@ def test_interval_expansion_finds_all_repeats():
         assert same.tolist() == [False, *(a == b for a, b in zip(keys[1:], keys[:-1], strict=True))] and sorted(keys) == keys
 
 
+def _repetition_verdict(text, words, failed):
+    """Largest coverage of repeated n-grams, largest share of one n-gram, share of repeated lines, and the verdict, by counting."""
+    chars, worst, coverage, top = sum(map(len, words)), failed, 0.0, 0.0
+    for n, most in repetition.MAX_COVERAGE.items():
+        grams = collections.Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+        inside = set()
+        for k in range(len(words) - n + 1):
+            if grams[tuple(words[k : k + n])] > 1:
+                inside |= set(range(k, k + n))
+        share = sum(len(words[k]) for k in inside) / chars if inside else 0.0
+        coverage, worst = max(coverage, share), worst or share > most
+    for n, most in repetition.MAX_TOP.items() if len(words) >= repetition.MIN_TOP_WORDS else []:
+        grams = collections.Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+        often = max(grams.values())
+        if often > 1:
+            share = max(often * sum(map(len, g)) / chars for g, c in grams.items() if c == often)
+            top, worst = max(top, share), worst or share > most
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    again = [line for k, line in enumerate(lines) if line in lines[:k]]
+    share = len(again) / len(lines) if lines else 0.0
+    again_bytes = sum(len(x.encode()) for x in again)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    kept = not (worst or share > repetition.MAX_LINES or again_bytes > repetition.MAX_LINE_CHARS * len(text.encode()) or symbols > repetition.MAX_SYMBOLS_A_WORD * len(words))
+    return coverage, min(1.0, top), share, kept
+
+
 def test_repetition(docs, empty, rows):
     found = by_id(repetition.rules(docs))
     for i, text in rows:
@@ -352,6 +388,7 @@ def test_repetition(docs, empty, rows):
         r = found[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, sum(inside), failed)
         assert not (failed and r["kept"])
+        assert (r["coverage"], r["top_share"], r["line_share"], r["kept"]) == pytest.approx(_repetition_verdict(text, words, failed)), i
     assert repetition.rules(empty).count() == 0
 
 
