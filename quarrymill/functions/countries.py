@@ -63,3 +63,13 @@ def matches(country: Column, target: str, domain: Column, description: Column) -
     said = mentions(F.concat_ws(" ", F.nullif(description, F.lit("")), F.nullif(domain, F.lit(""))), target)
     by_end = F.coalesce(end.contains(name) | F.lit(name).contains(end), F.lit(False))
     return same | said | by_end
+
+
+def matches_any(country: Column, target: Column, domain: Column, description: Column) -> Column:
+    """matches() against a column of countries: abbreviations of a row's own target are looked up, not unrolled."""
+    name, own, end = normalize(F.coalesce(target, F.lit(""))), normalize(F.coalesce(country, F.lit(""))), hint(domain)
+    low = F.lower(F.concat_ws(" ", F.nullif(description, F.lit("")), F.nullif(domain, F.lit(""))))
+    short = F.try_element_at(_map({name: "|".join(a for a, of in ALIASES.items() if of == name) for name in sorted(set(ALIASES.values()))}), name)
+    said = low.contains(name) | F.exists(F.split(F.coalesce(short, F.lit("")), r"\|"), lambda a: (a != "") & low.contains(a))
+    same = (own != "") & (own.contains(name) | name.contains(own))
+    return (name == "") | same | F.coalesce(said, F.lit(False)) | F.coalesce(end.contains(name) | name.contains(end), F.lit(False))

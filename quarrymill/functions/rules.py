@@ -17,20 +17,38 @@ def industry(text: Column) -> Column:
     return out
 
 
-def with_industry_match(companies: DataFrame, target: str) -> DataFrame:
-    """companies with m: struct(matches, score, detected, conflict) against a profile's id.
+def with_industry_match(companies: DataFrame, target: str | Column) -> DataFrame:
+    """companies with m: struct(matches, score, detected, conflict) against a profile's id, or a column of such ids.
 
-    The text, then the four tests over it, are columns of their own, so each pattern runs once a row.
+    The text, then the four tests over it, are columns of their own, so each pattern runs once a row; with a column of ids
+    only the row's own profile is asked.  An id that no profile has gives nulls.
     """
-    label, aliases, keywords, others = fixed.INDUSTRIES[target]
+    names = [target] if isinstance(target, str) else list(fixed.INDUSTRIES)
+
+    def of_target(test) -> Column:
+        if isinstance(target, str):
+            return test(*fixed.INDUSTRIES[target])
+        out = F.lit(None)
+        for name in reversed(names):
+            out = F.when(target == name, test(*fixed.INDUSTRIES[name])).otherwise(out)
+        return out
+
     own = F.trim(F.lower(F.coalesce("industry", F.lit(""))))
-    field = own == label.lower()
-    for alias in aliases:
-        field = field | own.contains(alias)
+
+    def fits_field(label: str, aliases: list[str], _keywords: str, _others: str) -> Column:
+        field = own == label.lower()
+        for alias in aliases:
+            field = field | own.contains(alias)
+        return field
+
     staged = companies.withColumn("_text", company_text())
     text = F.col("_text")
-    health = has(text, fixed.HEALTH_SOFTWARE) if target == "healthcare" else F.lit(False)
-    staged = staged.withColumns({"_detected": industry(text), "_keyword": has(text, keywords), "_other": has(text, others), "_field": field, "_health": health})
+    label = of_target(lambda name, *_: F.lit(name))
+    field = of_target(fits_field)
+    asked = F.lit(target == "healthcare") if isinstance(target, str) else target == "healthcare"
+    health = asked & has(text, fixed.HEALTH_SOFTWARE) if "healthcare" in names else F.lit(False)
+    keywords, others = of_target(lambda _n, _a, pattern, _o: has(text, pattern)), of_target(lambda _n, _a, _k, pattern: has(text, pattern))
+    staged = staged.withColumns({"_detected": industry(text), "_keyword": keywords, "_other": others, "_field": field, "_health": health})
     detected, keyword, fits = F.col("_detected"), F.col("_keyword"), F.col("_field")
     apart = F.coalesce(detected != label, F.lit(False)) & ~keyword & ~fits
     score = F.when(fits, 0.5).otherwise(0.0) + F.when(keyword, 0.5).otherwise(0.0)

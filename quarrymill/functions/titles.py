@@ -89,3 +89,17 @@ def title_matches(title: Column, wanted: list[str]) -> Column:
 
 def decision_rank(title: Column) -> Column:
     return first_match(F.trim(title), DECISION_RANKS, 0)
+
+
+def title_matches_any(title: Column, wanted: Column) -> Column:
+    """title_matches() against a column of title lists: a row's own roles are looked up and asked one by one."""
+    clean = collapse(F.coalesce(title, F.lit("")))
+    asked = F.when(F.size(F.coalesce(wanted, F.array().cast("array<string>"))) > 0, wanted).otherwise(F.array(*map(F.lit, DEFAULT_TITLES)))
+    keys = F.transform(asked, collapse)
+    table = F.create_map(*[x for role, names in ROLES.items() for x in (F.lit(role), F.array(*map(F.lit, names)))])
+    roles = F.flatten(F.transform(keys, lambda k: F.coalesce(F.try_element_at(table, k), F.array(k))))
+    held = F.exists(roles, lambda r: F.when(r.contains(" "), clean.contains(r)).otherwise(F.rlike(clean, F.concat(F.lit(r"\b"), F.replace(r, F.lit("-"), F.lit(r"\-")), F.lit(r"\b")))))
+    vp = F.exists(keys, lambda k: k.contains("vp engineering") | k.contains("vice president engineering") | (k == "vp eng"))
+    barred = has(clean, NO_DECISION) | (has(clean, NO_EXECUTIVE) & ~has(clean, STILL_EXECUTIVE))
+    barred = barred | (F.array_contains(keys, "manager") & has(clean, r"\bmanager\b") & ~has(clean, EXECUTIVE_MANAGERS))
+    return ~clean.isin(UNKNOWN_TITLES) & ~barred & (held | (vp & has(clean, VP_ENGINEERING)))
