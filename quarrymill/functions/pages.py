@@ -58,8 +58,8 @@ def visible(html: Column) -> Column:
 
 
 def lines_of(html: Column) -> Column:
-    """Texts between tags and line ends, in order, without empty ones."""
-    parts = F.split(F.regexp_replace(html, r"(?is)<[^>]*>", "\n"), "\n")
+    """Texts between tags and line ends, in order, without empty ones; links are part of the line they stand in."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(html, r"(?is)</?a\b[^>]*>", ""), r"(?is)<[^>]*>", "\n"), "\n")
     return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?i)&amp;", "&"), r"(?i)&nbsp;", " "))), lambda x: x != "")
 
 

@@ -37,17 +37,22 @@ def mark_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, key: Column, order: list) -> DataFrame:
-    """The first row of each key; rows without a key all stay."""
-    ranked = rows.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    return ranked.where(F.col("_key").isNull() | (F.col("_nth") == 1)).drop("_key", "_nth")
+    """The first row of each key; rows without a key all stay, and pass by the window."""
+    keyed = rows.withColumn("_key", key)
+    first = keyed.where(F.col("_key").isNotNull()).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_nth = 1")
+    return first.drop("_key", "_nth").union(keyed.where(F.col("_key").isNull()).drop("_key"))
 
 
-def dedup_counters(rows: DataFrame, known: DataFrame, key: str, order: list, relink: bool = True) -> DataFrame:
-    """rows kept, duplicates within the batch, keys known before, and rows dropped; relink: known rows stay."""
-    marked = mark_known(rows, known, key).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    first, has = F.col("_nth") == 1, F.col(key).isNotNull()
-    kept = has & first & (F.lit(relink) | ~F.col("known"))
-    return marked.agg(F.count_if(kept).alias("kept"), F.count_if(has & ~first).alias("batch_duplicates"), F.count_if(has & first & F.col("known")).alias("known_duplicates"), F.count_if(~kept).alias("dropped"))
+def dedup_counters(rows: DataFrame, known: DataFrame, key: str, relink: bool = True) -> DataFrame:
+    """rows kept, duplicates within the batch, keys known before, and rows dropped; relink: known rows stay.
+
+    One row stays of a key at most, so counts a key are enough: they combine before the shuffle, the keyless ones, too.
+    """
+    marked = mark_known(rows.groupBy(key).agg(F.count("*").alias("_n")), known, key)
+    has = F.col(key).isNotNull()
+    kept = F.count_if(has & (F.lit(relink) | ~F.col("known")))
+    out = [kept.alias("kept"), F.coalesce(F.sum(F.when(has, F.col("_n") - 1)), F.lit(0)).alias("batch_duplicates"), F.count_if(has & F.col("known")).alias("known_duplicates"), (F.coalesce(F.sum("_n"), F.lit(0)) - kept).alias("dropped")]
+    return marked.agg(*out)
 
 
 def cap_per_group(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
@@ -143,6 +148,14 @@ def soft_delete(contacts: DataFrame, discard: Column) -> DataFrame:
 
 
 def replies_to_mails(replies: DataFrame, sent: DataFrame) -> DataFrame:
-    """The first reply of each sent mail: same person, after it was sent."""
-    hit = sent.join(replies, "person").where(F.col("reply_at") > F.col("sent_at"))
-    return hit.groupBy("mail_id").agg(F.min(F.struct("reply_at", "reply_id")).alias("r")).select("mail_id", F.col("r.reply_id").alias("reply_id"))
+    """The first reply of each sent mail: same person, after it was sent.
+
+    Both sides go through one sort a person, latest first; a mail takes the last reply that has passed by, so no mail meets
+    every later reply.  At equal times a mail comes before a reply, which is not after it.
+    """
+    nobody = F.lit(None).cast("long")
+    mails = sent.select("person", F.col("sent_at").alias("at"), F.lit(0).alias("kind"), F.col("mail_id").cast("long").alias("mail_id"), nobody.alias("reply_id"))
+    answers = replies.select("person", F.col("reply_at").alias("at"), F.lit(1).alias("kind"), nobody.alias("mail_id"), F.col("reply_id").cast("long").alias("reply_id"))
+    passed = Window.partitionBy("person").orderBy(F.desc("at"), "kind", F.desc("reply_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = mails.union(answers).where(F.col("person").isNotNull()).withColumn("reply_id", F.last("reply_id", ignorenulls=True).over(passed))
+    return met.where("kind = 0 and reply_id is not null").select("mail_id", "reply_id")

@@ -19,8 +19,8 @@ _PEOPLE = [  # page, address, people
     ),
     ('<section><div class="team-card"><h3 class="team-card__name">Jane Doe</h3><p class="team-card__title">Chief of Staff</p><a href="https://linkedin.com/in/jdoe">in</a></div></section>', "https://acme.example/", "Jane Doe|Chief of Staff|-|https://www.linkedin.com/in/jdoe"),
     ('<ul><li>Jane Doe<br>Managing Director<br><a href="mailto:jane@acme.example?subject=x">mail</a></li><li>open 24/7 <a href="mailto:info@acme.example">mail</a></li></ul>', "https://acme.example/", "Jane Doe|Managing Director|jane@acme.example|-"),
-    ("<div><h3>Jane Doe</h3><p>Keeper of Keys</p></div>", _TEAM, "Jane Doe|Keeper of Keys|-|-"),
-    ("<div><h3>Jane Doe</h3><p>Keeper of Keys</p></div>", "https://acme.example/shop", ""),
+    ("<div><h3>Jane Doe</h3><p>Keeper of 100 keys</p></div>", _TEAM, "Jane Doe|Keeper of 100 keys|-|-"),
+    ("<div><h3>Jane Doe</h3><p>Keeper of 100 keys</p></div>", "https://acme.example/shop", ""),
     ('<div class="staff-member"><span>Jane Doe</span><span>VP Sales</span></div>', "https://acme.example/", "Jane Doe|VP Sales|-|-"),
     ("<table><tr><th>Name</th><th>Role</th></tr><tr><td>Jane Doe</td><td>Chairman</td></tr><tr><td>Bob Roe</td><td>Gardener</td></tr></table>", "https://acme.example/", "Jane Doe|Chairman|-|-;Bob Roe|Team Member|-|-"),
     ("<dl><dt>Jane Doe</dt><dd>Founder</dd><dt>Bob Roe</dt><dd>Cook</dd><dt>Read more</dt><dd>CEO</dd></dl>", "https://acme.example/", "Jane Doe|Founder|-|-;Bob Roe|Team Member|-|-"),

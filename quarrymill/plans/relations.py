@@ -122,7 +122,7 @@ def first_per_key(spark, sf_dir):
  FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY company_id) AS nth, dedup_key IN (SELECT dedup_key FROM ({_KEYED}) WHERE company_id % 9 = 0) AS known FROM ({_KEYED}))"""),
 )
 def discovery_counters(spark, sf_dir):
-    return R.dedup_counters(_keyed(spark, sf_dir), _keyed(spark, sf_dir).where("company_id % 9 = 0"), "dedup_key", ["company_id"])
+    return R.dedup_counters(_keyed(spark, sf_dir), _keyed(spark, sf_dir).where("company_id % 9 = 0"), "dedup_key")
 
 
 @query("WIN2_cap_per_company", with_views("SELECT company_id, contact_id, nth FROM (SELECT company_id, contact_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY contact_id) AS INTEGER) AS nth FROM contacts) WHERE nth <= 5"))

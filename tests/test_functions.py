@@ -111,8 +111,8 @@ def test_upsert_keeps_first_seen(spark):
 def test_dedup_counters(spark):
     rows = spark.createDataFrame([("acme.example", 1)], "key string, ord int")
     known = spark.createDataFrame([("acme.example",)], "key string")
-    assert tuple(relational.dedup_counters(rows, known, "key", ["ord"]).first()) == (1, 0, 1, 0)
-    assert tuple(relational.dedup_counters(rows, known, "key", ["ord"], relink=False).first()) == (0, 0, 1, 1)
+    assert tuple(relational.dedup_counters(rows, known, "key").first()) == (1, 0, 1, 0)
+    assert tuple(relational.dedup_counters(rows, known, "key", relink=False).first()) == (0, 0, 1, 1)
 
 
 def test_stream_dedup_and_breaker(spark, tmp_path):
