@@ -1,5 +1,5 @@
 """Queries over the model; importing a module registers its queries."""
 
-from . import by_search, dashboard, functions, hits, matching, pages, people, ranks, relations, relevance, scores, small_rules
+from . import by_search, dashboard, functions, hits, matching, pages, people, ranks, relations, relevance, scores, small_rules, sources
 
-__all__ = ["by_search", "dashboard", "functions", "hits", "matching", "pages", "people", "ranks", "relations", "relevance", "scores", "small_rules"]
+__all__ = ["by_search", "dashboard", "functions", "hits", "matching", "pages", "people", "ranks", "relations", "relevance", "scores", "small_rules", "sources"]

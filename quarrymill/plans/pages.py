@@ -22,7 +22,7 @@ _PEOPLE = [  # page, address, people
     ("<div><h3>Jane Doe</h3><p>Keeper of 100 keys</p></div>", _TEAM, "Jane Doe|Keeper of 100 keys|-|-"),
     ("<div><h3>Jane Doe</h3><p>Keeper of 100 keys</p></div>", "https://acme.example/shop", ""),
     ('<div class="staff-member"><span>Jane Doe</span><span>VP Sales</span></div>', "https://acme.example/", "Jane Doe|VP Sales|-|-"),
-    ("<table><tr><th>Name</th><th>Role</th></tr><tr><td>Jane Doe</td><td>Chairman</td></tr><tr><td>Bob Roe</td><td>Gardener</td></tr></table>", "https://acme.example/", "Jane Doe|Chairman|-|-;Bob Roe|Team Member|-|-"),
+    ("<table><tr><th>#1</th><th>#2</th></tr><tr><td>Jane Doe</td><td>Chairman</td></tr><tr><td>Bob Roe</td><td>Gardener</td></tr></table>", "https://acme.example/", "Jane Doe|Chairman|-|-;Bob Roe|Team Member|-|-"),
     ("<dl><dt>Jane Doe</dt><dd>Founder</dd><dt>Bob Roe</dt><dd>Cook</dd><dt>Read more</dt><dd>CEO</dd></dl>", "https://acme.example/", "Jane Doe|Founder|-|-;Bob Roe|Team Member|-|-"),
     ("<article><h4>Jane Doe</h4><span>Head of Growth</span></article>", "https://acme.example/", "Jane Doe|Head of Growth|-|-"),
     ('<div><span>Jane Doe</span><a href="https://linkedin.com/in/jd-1">profile</a></div>', "https://acme.example/", "Jane Doe|Team Member|-|https://www.linkedin.com/in/jd-1"),
