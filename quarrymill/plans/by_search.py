@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import countries, rules, titles
-from ..functions.relevance import plausible_name
+from ..functions import relevance as R
 from ..registry import query
 from ..sources import model
 from ..sources.cases import case_query, literal, sql_literal
 from ..sources.model import with_views
 from .functions import _TEXT, _TYPE, C, _chain, _has, _match_sql
+from .relevance import _BLOCK, _INVESTOR, _MEDIA
 
 #: Criteria that searches take by turns, so that all kinds occur on every table.
 TARGETS = ["technology", "healthcare", "finance", "retail", "hospitality", "media", "real_estate"]
@@ -52,26 +53,35 @@ def size_fits() -> Column:
     return free | inside
 
 
+def _has_technology(wanted: Column) -> Column:
+    have, low = F.coalesce("technologies", F.array().cast("array<string>")), F.lower(wanted)
+    return F.exists(have, lambda t: F.lower(t).contains(low) | low.contains(F.lower(t))) | F.coalesce(C("text").contains(low), F.lit(False))
+
+
 def technologies_fit() -> Column:
-    have = F.coalesce("technologies", F.array().cast("array<string>"))
-    listed = lambda low: F.exists(have, lambda t: F.lower(t).contains(low) | low.contains(F.lower(t)))
-    return F.forall(F.transform("wanted", lambda w: F.lower(w)), lambda low: listed(low) | F.coalesce(C("text").contains(low), F.lit(False)))
+    return F.forall("wanted", _has_technology)
+
+
+def technology_share() -> Column:
+    """Which share of the wanted ones a company has; all of none."""
+    return F.when(F.size("wanted") == 0, 1.0).otherwise(F.size(F.filter("wanted", _has_technology)) / F.size("wanted"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test of a company against its own search, each once a row."""
     rows = rules.with_industry_match(found_companies(spark, sf_dir), C("target")).withColumn("text", rules.company_text())
-    return rows.withColumns({"kind": rules.company_type(C("text"), C("domain")), "in_country": countries.matches_any(C("country"), C("target_country"), C("domain"), C("description")), "in_size": size_fits(), "has_technologies": technologies_fit()})
+    return rows.withColumns({"technology_share": technology_share(), "kind": rules.company_type(C("text"), C("domain")), "in_country": countries.matches_any(C("country"), C("target_country"), C("domain"), C("description")), "in_size": size_fits(), "has_technologies": technologies_fit()})
 
 
 _ALIASES = "MAP {" + ", ".join(f"'{a}': '{c}'" for a, c in countries.ALIASES.items()) + "}"
 _TLDS = "MAP {" + ", ".join(f"'{a}': '{c}'" for a, c in countries.TLDS.items()) + "}"
 _NORM = lambda c: f"coalesce({_ALIASES}[trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))], trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g')))"
+_OWNED = "(len(list_filter(technologies, lambda t_: contains(lower(t_), lower(w)) OR contains(lower(w), lower(t_)))) > 0 OR coalesce(contains(t, lower(w)), false))"
 _JUDGED = f"""SELECT company_id, target, target_country, size_min, size_max, employee_count, confidence, domain, linkedin_url, t, kind, score, conflict,
  (name_ = '' OR (own <> '' AND (contains(own, name_) OR contains(name_, own))) OR contains(low, name_) OR len(list_filter(map_keys({_ALIASES}), lambda a: {_ALIASES}[a] = name_ AND contains(low, a))) > 0
   OR coalesce(contains(hint, name_) OR contains(name_, hint), false)) AS in_country,
  ((size_min IS NULL AND size_max IS NULL) OR coalesce(employee_count >= coalesce(size_min, 0) AND employee_count <= coalesce(size_max, 2147483647), false)) AS in_size,
- len(list_filter(wanted, lambda w: NOT (len(list_filter(technologies, lambda t_: contains(lower(t_), lower(w)) OR contains(lower(w), lower(t_)))) > 0 OR coalesce(contains(t, lower(w)), false)))) = 0 AS has_technologies
+ len(list_filter(wanted, lambda w: NOT {_OWNED})) = 0 AS has_technologies, CASE WHEN len(wanted) = 0 THEN 1.0 ELSE len(list_filter(wanted, lambda w: {_OWNED})) / len(wanted)::DOUBLE END AS technology_share
  FROM (SELECT c.*, s.* EXCLUDE search_id, {_TEXT} AS t, {_TYPE} AS kind, {_NORM('country')} AS own, {_NORM('target_country')} AS name_, lower(concat_ws(' ', nullif(description, ''), nullif(domain, ''))) AS low,
   CASE WHEN contains(domain, '.') THEN {_TLDS}[string_split(lower(domain), '.')[-1]] END AS hint
   FROM companies c JOIN ({_SEARCHES}) s ON s.search_id = company_id % {SEARCHES} + 1)
@@ -160,19 +170,68 @@ def titles_by_search(spark, sf_dir):
     return rows.select("contact_id", "company_id", titles.title_matches_any(C("title"), C("titles")).alias("fits"), titles.decision_rank(C("title")).alias("rank"))
 
 
+_FACTORS = f"""SELECT contact_id, score AS industry, CAST(CASE WHEN conflict THEN 0.0 WHEN score >= 0.5 THEN 1.0 ELSE 0.2 END AS DOUBLE) AS kind,
+ CAST(CASE WHEN size_min IS NULL AND size_max IS NULL THEN 1.0 WHEN employee_count IS NULL THEN 0.45 WHEN in_size THEN 1.0 ELSE 0.0 END AS DOUBLE) AS size, CAST(in_country AS DOUBLE) AS place,
+ CAST(len(titles) = 0 OR fits AS DOUBLE) AS role, CAST(technology_share AS DOUBLE) AS tech
+ FROM ({_HELD.replace("contact_id, company_id, full_name, title,", "contact_id, company_id, full_name, title, titles,")}) JOIN ({_JUDGED}) USING (company_id)"""
+
+
+def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six factors of each contact, from 0 to 1: a company's five are made once, then joined to its contacts."""
+    open_size = C("size_min").isNull() & C("size_max").isNull()
+    firm = judged(spark, sf_dir).select(
+        "company_id",
+        C("m.score").alias("industry"),
+        F.when(C("m.conflict"), 0.0).when(C("m.score") >= 0.5, 1.0).otherwise(0.2).alias("kind"),
+        F.when(open_size, 1.0).when(C("employee_count").isNull(), 0.45).when(C("in_size"), 1.0).otherwise(0.0).alias("size"),
+        C("in_country").cast("double").alias("place"),
+        "titles",
+        C("technology_share").cast("double").alias("tech"),
+    )
+    c = model.contacts(spark, sf_dir).select("contact_id", "company_id", "title").join(firm, "company_id")
+    role = (F.size("titles") == 0) | titles.title_matches_any(C("title"), C("titles"))
+    return c.select("contact_id", "industry", "kind", "size", "place", role.cast("double").alias("role"), "tech")
+
+
+@query("SCO6_factors_by_search", with_views(_FACTORS))
+def lead_factors(spark, sf_dir):
+    return factors(spark, sf_dir)
+
+
+@query("SCO7_scores_by_search", with_views(f"SELECT contact_id, CAST(greatest(1, least(10, floor(1 + (industry * 18 + kind * 18 + size * 16 + place * 16 + role * 16 + tech * 16) / 100 * 9 + 0.5))) AS DOUBLE) AS score FROM ({_FACTORS})"))
+def lead_scores(spark, sf_dir):
+    f = {"industry": C("industry"), "type": C("kind"), "size": C("size"), "location": C("place"), "role": C("role"), "technology": C("tech")}
+    return factors(spark, sf_dir).select("contact_id", rules.lead_score(f).alias("score"))
+
+
+@query(
+    "FLT5_blockers_by_search",
+    with_views(f"""SELECT company_id, CASE WHEN {_has(_TEXT, R.HISTORICAL)} THEN 'historical_or_person' WHEN {_MEDIA} THEN 'media_publishing' WHEN conflict_ THEN 'conflicting_industry'
+ WHEN target = 'technology' AND {_has(_TEXT, R.NO_SAAS)} THEN 'non_saas_tech' WHEN {_BLOCK} IS NOT NULL THEN 'non_commercial_org' WHEN {_INVESTOR} THEN 'investor_accelerator' END AS reason
+ FROM companies JOIN (SELECT company_id, target, conflict AS conflict_ FROM ({_JUDGED})) USING (company_id)"""),
+)
+def blockers(spark, sf_dir):
+    """The first reason against a company for its own search."""
+    rows = rules.with_industry_match(found_companies(spark, sf_dir), C("target")).withColumn("text", rules.company_text())
+    t = C("text")
+    reason = (
+        F.when(R.has(t, R.HISTORICAL), "historical_or_person")
+        .when(R.is_media(t, C("domain")), "media_publishing")
+        .when(C("m.conflict"), "conflicting_industry")
+        .when((C("target") == "technology") & R.has(t, R.NO_SAAS), "non_saas_tech")
+        .when(R.organisation_block(t, C("domain")).isNotNull(), "non_commercial_org")
+        .when(R.is_investor(t, C("name"), C("domain")), "investor_accelerator")
+    )
+    return rows.select("company_id", reason.alias("reason"))
+
+
 _NAMES = [
     ("Jane Doe", True), ("Dr. Jane Doe", True), ("Jane van Doe", True), ("Our Mission", False), ("Your Trusted Partner", False), ("Jo", False), ("Acme Solutions", False), ("jane doe", True), ("Jane 2 Doe", False), ("Privacy Policy", False),
     ("Digital Transformation Partner Services", False), ("Mary-Jane O’Neil", True), ("A B C D E", False), ("", False), (None, False), ("Sales Team", False), ("Contact Us", False),
 ]
-case_query("FLT19_plausible_names", {"name": [n for n, _ in _NAMES]}, lambda df: {"plausible": plausible_name(C("name"))}, {"plausible": [p for _, p in _NAMES]})
+case_query("FLT19_plausible_names", {"name": [n for n, _ in _NAMES]}, lambda df: {"plausible": R.plausible_name(C("name"))}, {"plausible": [p for _, p in _NAMES]})
 
 _STATES = [("valid@acme.example", "valid"), ("invalid.1@acme.example", "invalid"), ("will-bounce@acme.example", "invalid"), ("risky@acme.example", "risky"), ("catchall-x@acme.example", "risky"), ("a@catchall.acme.example", "risky"), ("disposable@acme.example", "invalid"), ("unknown@acme.example", "unknown"), ("no address", "invalid"), ("@acme.example", "invalid")]
 
 
-def _mock(df):
-    from ..functions.relevance import mock_status
-
-    return {"status": mock_status(C("email"))}
-
-
-case_query("CLS9_mock_verifier", {"email": [e for e, _ in _STATES]}, _mock, {"status": [s for _, s in _STATES]})
+case_query("CLS9_mock_verifier", {"email": [e for e, _ in _STATES]}, lambda df: {"status": R.mock_status(C("email"))}, {"status": [s for _, s in _STATES]})

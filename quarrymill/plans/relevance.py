@@ -74,6 +74,5 @@ _projection(
     },
 )
 _projection("SCO5_founded", "companies", "company_id", {"year": (lambda: R.founded(C("description")), "TRY_CAST(nullif(regexp_extract(description, '(?i)\\b(?:founded|established|since)\\s*(?:in\\s*)?((?:19|20)\\d{2})\\b', 1), '') AS INTEGER)"), "passed": (lambda: (F.length("name") >= 2) & F.coalesce(C("website_url").startswith("http") | text.likely_company_domain(C("domain")), F.lit(False)) & F.coalesce(F.trim("industry") != "", F.lit(False)) & F.coalesce(F.trim("country") != "", F.lit(False)), "length(name) >= 2 AND coalesce(starts_with(website_url, 'http'), false) AND coalesce(trim(industry) <> '', false) AND coalesce(trim(country) <> '', false)")})
-_projection("CLS9_mock_verifier", "contacts", "contact_id", {"status": (lambda: R.mock_status(C("email")), "CASE WHEN NOT contains(email, '@') THEN 'invalid' ELSE 'valid' END")})
 _projection("HTM2_phones", "documents", "doc_id", {"phones": (lambda: F.size(text.phones_in(C("text"))), "CAST(len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '(?:\\+?\\d{1,3}[\\s.-]?)?(?:\\(?\\d{2,4}\\)?[\\s.-]?)?\\d{3,4}[\\s.-]?\\d{3,4}'), lambda p: trim(p))), lambda p: length(regexp_replace(p, '\\D', '', 'g')) >= 8)) AS INTEGER)")})
 _projection("HTM12_json_mail", "contacts", "contact_id", {"subject": (lambda: R.mail_of_json(F.concat(F.lit('```json\n{"subject": " Hi '), C("full_name"), F.lit('", "body": "b"}\n```')))["subject"], "'Hi ' || full_name")})
