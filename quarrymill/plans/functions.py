@@ -200,12 +200,18 @@ _LEAD_SCORE = f"SELECT contact_id, CAST(least(10, greatest(1, least(10, floor(1
 
 
 @query("SCO10_score_leads", with_views(_LEAD_SCORE))
-@query("SCO7_lead_score", with_views(_LEAD_SCORE))
 def lead_scores(spark, sf_dir):
     f = {"industry": C("industry"), "type": C("kind"), "size": C("size"), "location": C("place"), "role": C("role"), "technology": C("tech")}
     return factors(spark, sf_dir).select("contact_id", rules.lead_score(f, intent=C("intent")).alias("score"))
 
 
+@query("SCO7_lead_score", with_views(f"SELECT contact_id, CAST(greatest(1, least(10, floor(1 + (industry * 18 + kind * 18 + size * 16 + place * 16 + role * 16 + tech * 16) / 100 * 9 + 0.5))) AS DOUBLE) AS score FROM ({_FACTORS})"))
+def lead_score(spark, sf_dir):
+    """The formula alone, without what intent adds."""
+    f = {"industry": C("industry"), "type": C("kind"), "size": C("size"), "location": C("place"), "role": C("role"), "technology": C("tech")}
+    return factors(spark, sf_dir).select("contact_id", rules.lead_score(f).alias("score"))
+
+
 @query("AGG20_weighted_mean", with_views(f"SELECT contact_id, floor((industry * 18 + kind * 18 + size * 16 + place * 16 + role * 16 + tech * 16) / 100 * 1000 + 0.5) / 1000 AS mean FROM ({_FACTORS})"))
 def weighted_mean(spark, sf_dir):
     total = C("industry") * 18 + C("kind") * 18 + C("size") * 16 + C("place") * 16 + C("role") * 16 + C("tech") * 16

@@ -159,7 +159,19 @@ def keyed_dedup(spark, sf_dir):
     return model.table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
 
 
-@query("SRC6_cache", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 AND ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)")
+_CACHED = "SELECT event_type AS kind, user_id AS key, max(event_id) FILTER (nth = 1) AS entry, max(ts) + CASE WHEN event_type = 'error' THEN INTERVAL 1 HOUR ELSE INTERVAL 7 DAY END AS expires_at FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) GROUP BY event_type, user_id"
+
+
+@query("SRC6_cache", f"SELECT kind, key, entry, expires_at > (SELECT max(ts) FROM events) AS hit FROM ({_CACHED})")
+def cached(spark, sf_dir):
+    """A cache of several kinds, each with its own time to live: the last write of a key wins, a read hits until it expires."""
+    e = model.table(spark, sf_dir, "events").select(C("event_type").alias("kind"), C("user_id").alias("key"), "ts", "event_id")
+    last = e.groupBy("kind", "key").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    lives = F.when(C("kind") == "error", F.expr("interval 1 hour")).otherwise(F.expr("interval 168 hours"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return last.crossJoin(F.broadcast(now)).select("kind", "key", C("m.event_id").alias("entry"), (C("m.ts") + lives > C("now")).alias("hit"))
+
+
 @query("STM6_ttl", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 AND ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)")
 def cache(spark, sf_dir):
     """The latest entry of a key, if it has not expired at the time of the newest; an aggregate instead of a window."""

@@ -15,7 +15,19 @@ def scan(spark, sf_dir):
     return model.table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == "BUILDING") & F.col("c_acctbal").isNotNull()).select("c_custkey", "c_name")
 
 
-@query("SRC2_embedded_lookup", with_views("SELECT contact_id, full_name, name AS company, domain FROM contacts LEFT JOIN companies USING (company_id)"))
+@query(
+    "SRC2_embedded_lookup",
+    with_views("SELECT email_id, coalesce(full_name, '') || ' <' || coalesce(email, '') || '>' AS contact, name AS company FROM emails LEFT JOIN contacts USING (contact_id) LEFT JOIN companies USING (company_id) WHERE status = 'sent'"),
+)
+def embedded(spark, sf_dir):
+    """A mail with its contact and, in that, the contact's company: to-one rows as nested values, absent ones as nulls."""
+    company = model.companies(spark, sf_dir).select("company_id", F.struct("name", "domain").alias("company"))
+    contact = model.contacts(spark, sf_dir).join(company, "company_id", "left").select("contact_id", F.struct("full_name", "email", "company").alias("contact"))
+    rows = model.emails(spark, sf_dir).where("status = 'sent'").select("email_id", "contact_id").join(contact, "contact_id", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select("email_id", F.concat(some("contact.full_name"), F.lit(" <"), some("contact.email"), F.lit(">")).alias("contact"), F.col("contact.company.name").alias("company"))
+
+
 @query("JN1_contact_company", with_views("SELECT contact_id, full_name, name AS company, domain FROM contacts LEFT JOIN companies USING (company_id)"))
 def contact_company(spark, sf_dir):
     return R.contact_companies(model.contacts(spark, sf_dir), model.companies(spark, sf_dir)).select("contact_id", "full_name", "company", "domain")
@@ -85,7 +97,16 @@ _MERGED = f"""SELECT coalesce(d.domain, w.domain) AS domain, coalesce(d.title, w
  CASE WHEN d.ord IS NOT NULL THEN 'directory' ELSE 'web' END AS source, coalesce(d.ord, w.ord) AS ord FROM ({_SEED.format(1)}) d FULL JOIN ({_SEED.format(2)}) w ON d.domain = w.domain"""
 
 
-@query("SET3_merge_seeds", with_views(_MERGED))
+@query(
+    "SET3_distinct_seeds",
+    with_views(f"""SELECT domain, title, source FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY source, ord) AS nth FROM (SELECT 'directory' AS source, * FROM ({_SEED.format(1)}) UNION ALL SELECT 'web', * FROM ({_SEED.format(2)}))) WHERE nth = 1"""),
+)
+def distinct_seeds(spark, sf_dir):
+    """Union of both sources, the first of a domain whole and unmerged: an aggregate that combines before the shuffle."""
+    both = _seeds(spark, sf_dir, 1).withColumn("source", F.lit("directory")).union(_seeds(spark, sf_dir, 2).withColumn("source", F.lit("web")))
+    return both.groupBy("domain").agg(F.min(F.struct("source", "ord", "title")).alias("m")).select("domain", "m.title", "m.source")
+
+
 @query("JN10_merge_seeds", with_views(_MERGED))
 def merge_seeds(spark, sf_dir):
     return R.merge_seeds(_seeds(spark, sf_dir, 1), _seeds(spark, sf_dir, 2))
