@@ -55,9 +55,8 @@ def spans(raws: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray,
     total = int(windows.sum())
     if not total:
         return texts, _EMPTY, _EMPTY, _EMPTY, _EMPTY
-    at = np.arange(n - K + 1)
     wide = MIN_BYTES - K + 1
-    key = texts.hashes(at, at + K) >> np.uint64(_PLACE) << np.uint64(_PLACE) | at.astype(np.uint64)
+    key = texts.window_hashes() >> np.uint64(_PLACE) << np.uint64(_PLACE) | np.arange(n - K + 1).astype(np.uint64)
     padded = np.full(-(-len(key) // wide) * wide + wide, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(key)] = key
     grid = padded.reshape(-1, wide)

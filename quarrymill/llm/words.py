@@ -8,23 +8,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are worked on at a time.
 BLOCK_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+_FULL = 0xFFFFFFFFFFFFFFFF
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_POWERS: dict[str, np.ndarray] = {"on": np.ones(1, np.uint64), "back": np.ones(1, np.uint64)}
-
-
-def _powers(kind: str, n: int) -> np.ndarray:
-    if len(_POWERS[kind]) < n:
-        steps = np.full(max(n, BLOCK_BYTES + (1 << 16)), _BASE if kind == "on" else _BACK, np.uint64)
-        steps[0] = 1
-        _POWERS[kind] = np.multiply.accumulate(steps)
-    return _POWERS[kind]
+#: Spans of up to so many bytes are hashed eight bytes at a time over all spans at once, longer ones one by one.
+_SHORT = 32
+_STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA24BAED4963EE407)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,7 +33,9 @@ class Words:
 
     def __init__(self, raws: list[bytes], lower: bool = False):
         joined = b"\n".join([*raws, b""])
-        self.data = np.frombuffer(joined.translate(_LOWER) if lower else joined, np.uint8)
+        padded = (joined.translate(_LOWER) if lower else joined) + bytes(8)
+        self.data = np.frombuffer(padded, np.uint8)[: len(joined)]
+        self._lanes = np.ndarray(len(joined) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
         self.sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         self.off = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         space = SPACE[self.data]
@@ -47,14 +44,34 @@ class Words:
         self.first = np.searchsorted(self.start, self.off)  # first word of each text
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(raws)), self.counts)
-        n = len(self.data)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_powers("on", n)[:n] * (self.data.astype(np.uint64) + np.uint64(1)), out=self._sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of any spans of data."""
-        back = _powers("back", len(self.data) + 1)
-        return mix((self._sums[end] - self._sums[start]) * back[start])
+        """Of any spans of data; a span's hash depends on its bytes alone, and not linearly, so no pattern of bytes collides by rule."""
+        size = end - start
+        out = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+        left = np.flatnonzero((size > 0) & (size <= _SHORT))
+        for k in range(0, _SHORT, 8):
+            rest = size[left] - k
+            lane = self._lanes[start[left] + k] & np.where(rest < 8, (np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1), np.uint64(_FULL))
+            out[left] = mix((out[left] ^ lane) * np.uint64(_BASE))
+            left = left[rest > 8]
+            if not len(left):
+                break
+        raw = memoryview(self.data)
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+        return out
+
+    def window_hashes(self) -> np.ndarray:
+        """Of the 32 bytes from each place on, one for each place that has so many after it."""
+        n = max(0, len(self.data) - 31)
+        out = np.zeros(n, np.uint64)
+        for k, step in enumerate(_STEPS):
+            lane = self._lanes[8 * k : 8 * k + n] * step
+            lane ^= lane >> np.uint64(29)
+            lane *= np.uint64(_BASE)
+            out += lane ^ (lane >> np.uint64(32 - k))
+        return mix(out)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
