@@ -1,12 +1,10 @@
-"""What company pages hold: metadata, JSON-LD, people.  Pages stay columns: patterns find the innermost blocks, their lines
-are arrays, and each rule is a filter over them, so no row leaves the JVM."""
+"""What company pages and answers say: addresses, titles, JSON-LD.  The elements of a page are in operators/html_nodes.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import contacts
 from .relevance import plausible_name
 from .text import has
 
@@ -20,9 +18,6 @@ PRESS_PATHS = r"/(awards|news|press|media|blog|events|speakers|announcements|ins
 EXECUTIVE = r"\b(ceo|cto|cfo|coo|cmo|cpo|founder|co[-\s]?founder|president|director|owner|manager|vp|vice president|chief|head of|officer|executive)\b"
 NO_TITLE_LINES = r"^(read more|contact|email|phone|linkedin)$"
 
-# fixed values: classes of cards that hold a person, and of sections whose headings are people
-CARDS = r"team-member|team_member|staff-member|person-card|profile-card|member-card|employee|leadership|our-team|staff"
-CARD_TITLES = r"team-card__title|member-title|profile-title|job-title"
 ORGANISATION = r"(?i)^(Organization|LocalBusiness|Corporation|ProfessionalService)$"
 
 # fixed values: a name and a title side by side in a line, behind "said", and in running text
@@ -30,9 +25,6 @@ NAME_AND_TITLE = r"^([A-Z][A-Za-z.'’-]+(?:\s+[A-Z]\.?[A-Za-z.'’-]+){0,4})\s*
 SAID = r"(?i)\bsaid\s+([A-Z][A-Za-z.'’-]+(?:\s+[A-Z]\.?[A-Za-z.'’-]+){0,4}),\s*([^\".]+?)(?:\.|\s+\"|$)"
 IN_TEXT = r"\b([A-Z][a-z]+(?:\s+[A-Z]\.?[a-z]+){1,3}),\s*(Vice President[^.:]{0,60}|President[^.:]{0,40}|Chief [A-Za-z ]{3,40} Officer|CEO|CTO|CFO|COO|Sales Director|Managing Director|Director of [A-Za-z ]{2,40})\b"
 
-_BLOCK = "div|li|article|section|tr|dl"
-#: A block without blocks inside: (tag with its attributes, content).
-_INNERMOST = rf"(?is)(<(?:{_BLOCK})\b[^>]*>(?:(?!</?(?:{_BLOCK})\b).)*)"
 PERSON = "struct<rank:int,name:string,title:string,email:string,profile:string>"
 
 
@@ -44,25 +36,6 @@ def first_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group)), F.lit(""))
 
 
-def attribute(tag: str, marked: str, wanted: str, html: Column) -> Column:
-    """Of the first such tag that is marked so, an attribute, wherever in the tag both stand."""
-    found = F.get(all_of(html, rf"(?is)(<{tag}\b[^>]*{marked}[^>]*>)"), F.lit(0))
-    return F.nullif(F.trim(F.regexp_extract(found, rf"(?is)\b{wanted}=[\"']([^\"']*)[\"']", 1)), F.lit(""))
-
-
-def visible(html: Column) -> Column:
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")
-    text = F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"(?i)&nbsp;", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)&rsquo;|&#8217;|&#x2019;", "'"), r"(?i)&[lr]dquo;|&#822[01];", '"')
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)&amp;", "&"), r"\s+", " "))
-
-
-def lines_of(html: Column) -> Column:
-    """Texts between tags and line ends, in order, without empty ones; links are part of the line they stand in."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(html, r"(?is)</?a\b[^>]*>", ""), r"(?is)<[^>]*>", "\n"), "\n")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?i)&amp;", "&"), r"(?i)&nbsp;", " "))), lambda x: x != "")
-
-
 def is_title(line: Column) -> Column:
     return has(line, "(?:" + "|".join(TITLE_WORDS) + ")")
 
@@ -75,19 +48,6 @@ def tells_news(url: Column) -> Column:
     return has(F.concat(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:https?://)?[^/?#]+([^?#]*)", 1), F.lit("/")), PRESS_PATHS)
 
 
-def metadata(html: Column) -> dict[str, Column]:
-    """Title, description and the first links to profiles of a company's page."""
-    link = lambda host: attribute("a", rf"href=[\"'][^\"']*{host}", "href", html)
-    paragraph = F.substring(F.trim(F.regexp_replace(F.regexp_replace(first_of(html, r"(?is)<p\b[^>]*>(.*?)</p>"), "<[^>]+>", ""), r"^\s+|\s+$", "")), 1, 280)
-    return {
-        "title": F.coalesce(attribute("meta", "property=[\"']og:site_name[\"']", "content", html), first_of(html, r"(?is)<title[^>]*>([^<]*)</title>")),
-        "description": F.coalesce(attribute("meta", "name=[\"']description[\"']", "content", html), attribute("meta", "property=[\"']og:description[\"']", "content", html), F.nullif(paragraph, F.lit(""))),
-        "linkedin": link(r"linkedin\.com/company"),
-        "twitter": F.coalesce(link(r"twitter\.com"), link(r"x\.com")),
-        "facebook": link(r"facebook\.com"),
-    }
-
-
 def json_ld(html: Column) -> Column:
     """Every JSON-LD node as JSON text: of a list its items, of an object itself and its graph; broken ones are left out."""
     raw = F.transform(all_of(html, r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), lambda x: F.trim(x))
@@ -133,103 +93,11 @@ def _person(rank: int, name: Column, title: Column, email: Column, profile: Colu
     return F.struct(F.lit(rank).alias("rank"), name.alias("name"), F.coalesce(title, F.lit("Team Member")).alias("title"), email.alias("email"), address.alias("profile")).cast(PERSON)
 
 
-def _json_people(html: Column) -> Column:
-    def person(node: Column) -> Column:
-        name = F.trim(F.get_json_object(node, "$.name"))
-        title = F.coalesce(F.get_json_object(node, "$.jobTitle"), F.get_json_object(node, "$.title"))
-        same = F.get_json_object(node, "$.sameAs")
-        profile = F.get(all_of(same, r"([^\s\"',\[\]]*linkedin\.com/in/[^\s\"',\[\]]*)"), F.lit(0))
-        return _person(1, name, F.when(is_title(title), title), contacts.personal_email(F.get_json_object(node, "$.email"), name), profile)
-
-    people = F.filter(json_ld(html), lambda n: F.get_json_object(n, "$['@type']").rlike("(?i)Person|Employee"))
-    return F.filter(F.transform(people, person), lambda p: plausible_name(p["name"]))
-
-
-def _block_people(html: Column, leads: Column) -> Column:
-    """People of innermost blocks: the first line that is a name, the first other one that is a title.
-
-    A block's rank is that of the first rule that it fits: a team card, a linked mailbox, a heading on a page of people, a
-    card by its class, a table's row, a name over a role, a linked profile.
-    """
-
-    def person(block: Column) -> Column:
-        tag = F.regexp_extract(block, "(?is)^<[^>]*>", 0)
-        lines = lines_of(block)
-        name = F.get(F.filter(lines, plausible_name), F.lit(0))
-        others = F.filter(lines, lambda x: x != name)
-        said = F.get(F.filter(others, is_title), F.lit(0))
-        loose = F.get(F.filter(others, lambda x: F.length(x).between(3, 72) & ~plausible_name(x) & ~has(x, NO_TITLE_LINES)), F.lit(0))
-        marked = first_of(block, rf"(?is)class=[\"'][^\"']*(?:{CARD_TITLES})[^\"']*[\"'][^>]*>\s*([^<]+)")
-        linked = F.get(all_of(block, r"(?i)href=[\"']mailto:([^\"'?]+)"), F.lit(0))
-        profile = F.get(all_of(block, r"(?i)href=[\"']([^\"']*linkedin\.com/in[^\"']*)"), F.lit(0))
-        written = all_of(block, r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})")
-        named = has(block, r"<(?:h[2-5]|strong)\b[^>]*>\s*(?:<[^>]+>\s*)*" + r"[A-Z]")
-        rank = (
-            F.when(has(block, r"class=[\"'][^\"']*team-card"), 2)
-            .when(linked.isNotNull(), 3)
-            .when(leads & named, 4)
-            .when(has(tag, rf"class=[\"'][^\"']*(?:{CARDS})"), 5)
-            .when(tag.rlike("(?i)^<tr"), 7)
-            .when(named & (said.isNotNull() | leads), 9)
-            .when(profile.isNotNull(), 10)
-        )
-        title = F.when(rank == 2, F.coalesce(marked, said, F.when(leads, loose))).otherwise(F.coalesce(said, F.when(leads, loose)))
-        out = _person(0, name, title, contacts.best_email(linked, written, name), profile)
-        return out.withField("rank", rank)
-
-    # a block is a definition list or whatever holds a word that a person has beside the name
-    found = F.transform(F.filter(all_of(html, _INNERMOST), lambda b: ~b.rlike("(?i)^<dl")), person)
-    return F.filter(found, lambda p: p["rank"].isNotNull() & p["name"].isNotNull())
-
-
-def _defined_people(html: Column) -> Column:
-    """dt: the name, dd: the title."""
-
-    def person(pair: Column) -> Column:
-        name, more = first_of(F.regexp_replace(F.regexp_extract(pair, r"(?is)<dt[^>]*>(.*?)</dt>", 1), "<[^>]+>", ""), r"(?s)(.*)"), F.regexp_extract(pair, r"(?is)<dd[^>]*>(.*)$", 1)
-        text = F.trim(F.regexp_replace(F.regexp_replace(more, "<[^>]+>", " "), r"\s+", " "))
-        linked = F.get(all_of(more, r"(?i)href=[\"']mailto:([^\"'?]+)"), F.lit(0))
-        profile = F.get(all_of(more, r"(?i)href=[\"']([^\"']*linkedin\.com/in[^\"']*)"), F.lit(0))
-        first = F.get(lines_of(more), F.lit(0))
-        title = F.when(is_title(first), first).when(is_title(text), text)
-        return _person(8, name, title, contacts.best_email(linked, all_of(more, r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"), name), profile)
-
-    return F.filter(F.transform(all_of(html, r"(?is)(<dt\b[^>]*>.*?</dt>\s*<dd\b[^>]*>.*?)</dd>"), person), lambda p: plausible_name(p["name"]))
-
-
-def press_people(html: Column) -> Column:
-    """People of a news page: bold "Name, Title", said Name, Title, and both in running text; the first of a name counts."""
-    text = visible(html)
-    bold = F.transform(all_of(html, r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>"), lambda x: F.regexp_replace(visible(x), r":\s*$", ""))
-    by_line = F.transform(bold, lambda x: F.struct(F.regexp_extract(x, NAME_AND_TITLE, 1).alias("name"), F.regexp_extract(x, NAME_AND_TITLE, 2).alias("title")))
-    parts = F.transform(all_of(html, r"(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>"), visible)
-    said = F.flatten(F.transform(parts, lambda t: F.arrays_zip(all_of(t, SAID, 1).alias("name"), all_of(t, SAID, 2).alias("title"))))
-    said = F.transform(said, lambda p: F.struct(F.trim(p["name"]).alias("name"), F.regexp_replace(F.trim(p["title"]), r"(?i)\s+(said|noted|added)$", "").alias("title")))
-    plain = F.arrays_zip(all_of(text, IN_TEXT, 1).alias("name"), all_of(text, IN_TEXT, 2).alias("title"))
-    kind = "array<struct<name:string,title:string>>"
-    executive = F.filter(F.concat(by_line.cast(kind), said.cast(kind)), lambda p: has(p["title"], EXECUTIVE))
-    people = F.filter(F.concat(executive, plain.cast(kind)), lambda p: plausible_name(p["name"]))
-    nobody = F.lit(None).cast("string")
-    found = F.transform(people, lambda p: _person(11, F.replace(p["name"], F.lit("’"), F.lit("'")), F.trim(p["title"]), nobody, nobody))
-    return _first_of_each(found, lambda p: F.lower(p["name"]))
-
-
 def _first_of_each(people: Column, key) -> Column:
     keys = F.transform(people, key)
     return F.filter(people, lambda p, i: F.array_position(keys, key(p)) == i + 1)
 
 
-def people_on_page(df: DataFrame, html: str = "html", url: str = "url") -> tuple[DataFrame, Column]:
-    """(staged rows, people): by the rank of the rule that finds them, then their place; the first of a name and title counts."""
-    df = df.withColumns({"_leads": lists_people(F.col(url)), "_news": tells_news(F.col(url))})
-    none = F.array().cast(f"array<{PERSON}>")
-    df = df.withColumn("_people", F.concat(_json_people(F.col(html)), _block_people(F.col(html), F.col("_leads")), _defined_people(F.col(html))))
-    df = df.withColumn("_people", F.concat("_people", F.when(F.col("_news"), press_people(F.col(html))).otherwise(none)))
-    placed = F.transform("_people", lambda p, i: F.struct(p["rank"].alias("rank"), i.alias("place"), p.alias("p")))
-    df = df.withColumn("_people", F.transform(F.array_sort(placed), lambda x: x["p"]))
-    return df, _first_of_each(F.col("_people"), lambda p: F.concat_ws("|", F.lower(p["name"]), F.lower(p["title"])))
-
-
 def people_of_answer(answer: Column) -> Column:
     """The people of a model's answer: its first JSON list; the first of a name and title, twelve at most."""
     raw = F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)\[.*\]", 0)

@@ -98,9 +98,7 @@ def plausible_name(name: Column) -> Column:
     cased = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 100)))), " ")
     selling = F.size(F.filter(words, lambda w: w.rlike(f"(?i){TAGLINE_WORD}"))) >= 2
     tagline = has(clean, TAGLINE_START) | (has(clean, r"\b(modernization|transformation)\b") & has(clean, r"\bpartner\b")) | ((F.size(words) >= 4) & selling)
-    listed = F.lit(False)
-    for pattern in NO_NAMES:
-        listed = listed | has(clean, pattern)
+    listed = has(clean, "(?:" + "|".join(NO_NAMES) + ")")
     return F.coalesce(F.length(clean).between(3, 60) & ~listed & ~tagline & cased.rlike(NAME) & ~has(clean, COMPANY_END), F.lit(False))
 
 
