@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,6 @@ MAX_DEPTH = 512
 #: page; node: 0 for the whole page, then elements as they begin; place: among the elements of the same parent;
 #: path: the element's ancestors from the outermost on, and itself at the end; raw: of scripts.
 SCHEMA = "page long, node int, parent int, place int, tag string, attributes map<string,string>, path array<struct<node:int,tag:string,kind:string>>, text string, raw string"
-_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.struct([("node", pa.int32()), ("tag", pa.string()), ("kind", pa.string())])), pa.string(), pa.string()]
 _NAMES = ["page", "node", "parent", "place", "tag", "attributes", "path", "text", "raw"]
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -37,7 +37,7 @@ _BATCH_ROWS = 20_000
 
 def elements(html: str) -> list[list]:
     """Rows of _NAMES without the page, the whole page first."""
-    rows = [[0, None, 0, "#page", [], [], None, None]]
+    rows = [[0, None, 0, "#page", {}, [], None, None]]
     begins, children = [0], [0]
     stack, said, length = [0], [], 0
 
@@ -83,8 +83,8 @@ def elements(html: str) -> list[list]:
         for name, double, single, bare in _ATTRIBUTE.findall(token[3]):
             attributes.setdefault(name.lower(), unescape(double or single or bare))
         parent, row = stack[-1], len(rows)
-        path = [*rows[parent][5], {"node": row, "tag": tag, "kind": attributes.get("class", "")}]
-        rows.append([row, parent, children[parent], tag, list(attributes.items()), path, None, None])
+        path = [*rows[parent][5], (row, tag, attributes.get("class", ""))]
+        rows.append([row, parent, children[parent], tag, attributes, path, None, None])
         children[parent] += 1
         begins.append(length)
         children.append(0)
@@ -127,7 +127,14 @@ def nodes(pages: DataFrame, key: str = "page", html: str = "html") -> DataFrame:
 
 
 def _packed(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(_NAMES), _TYPES, strict=True)], _NAMES)
+    page, node, parent, place, tag, attributes, path, text, raw = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+    offsets = lambda many: pa.array(list(accumulate(map(len, many), initial=0)), pa.int32())
+    keys, values = [k for a in attributes for k in a], [v for a in attributes for v in a.values()]
+    steps = list(zip(*chain.from_iterable(path), strict=True)) or [[]] * 3
+    steps = pa.StructArray.from_arrays([pa.array(steps[0], pa.int32()), pa.array(steps[1], pa.string()), pa.array(steps[2], pa.string())], ["node", "tag", "kind"])
+    columns = [pa.array(page, pa.int64()), *(pa.array(c, pa.int32()) for c in (node, parent, place)), pa.array(tag, pa.string())]
+    columns += [pa.MapArray.from_arrays(offsets(attributes), pa.array(keys, pa.string()), pa.array(values, pa.string())), pa.ListArray.from_arrays(offsets(path), steps), pa.array(text, pa.string()), pa.array(raw, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 def attribute(name: str) -> Column:

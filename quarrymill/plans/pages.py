@@ -85,7 +85,7 @@ _META = [  # page, title, description, profile links
 ]
 case_query("HTM4_metadata", {"html": [m[0] for m in _META]}, lambda df: _by_page(df, people.metadata(df.select(C("id").alias("page"), "html"))), {c: [m[i + 1] for m in _META] for i, c in enumerate(("title", "description", "linkedin", "twitter", "facebook"))})
 
-_PLAIN = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PLAIN = "regexp_replace(replace(replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"
 _BARE = "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs')"
 
 
