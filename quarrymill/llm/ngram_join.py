@@ -17,8 +17,10 @@ without its sets.  Surviving pairs are verified on the full sets.
    is a link.  So a family of m sets gives m - 1 links at most, however many of its pairs are similar.
 5. Components over the links.
 
-Buckets and families above a bounded size are split into parts, and each two parts meet in a cell; so are shingles that
-a great many documents deal out.  Nothing is left out by it.
+Buckets and families above a bounded size are split into parts, each of which is compared by itself first; so are shingles
+that a great many documents deal out.  Then one node of each tree meets those of other parts, round by round, until few
+trees join; what is still outside the largest tree of its group meets all parts (`parts.py`).  Nothing is left out by it, and a
+group of near copies, which is one tree by then, costs in proportion to its size.
 
 Words are runs of non-white-space; A-Z is lower-cased.  Fewer than five words are one shingle; no words, null included,
 are an empty set that links with nothing, its component is its own doc_id.  Rows are documents; rows that share a doc_id
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, broadcast_filter, discard, materialize, skew_safe_lookup, slices_for, tidy
 from .components import components
+from .parts import join_parts
 from .words import Words, blocks, mix, rolling
 
 WORDS, PERCENT = 5, 80
@@ -45,8 +48,8 @@ GROUPS, MAX_GROUPS, LEAF = 64, 4096, 24
 #: Shingles in the table of frequent ones, 20 bytes each.
 MAX_FREQUENT = 262_144
 #: Documents of a part of a bucket; bytes of sets and documents of a part of a family; documents that deal out one
-#: shingle from which it is split before any bucket is built.
-PART_DOCS, PART_BYTES, FAMILY_DOCS, HOT_ENTRIES = 1024, 4 << 20, 4096, 1_000_000
+#: shingle, half of those from which it is split before any bucket is built.
+PART_DOCS, PART_BYTES, FAMILY_DOCS, HOT_ENTRIES = 2048, 4 << 20, 4096, 1_000_000
 #: Rows, and bytes of vectors, that a task works on at a time.
 ROWS, VECTOR_BYTES = 8_000, 16 << 20
 
@@ -279,16 +282,6 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, n int, h1 long, h2 long, dealt binary, vector binary")
 
 
-def parts_met(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, smaller part, larger part) of each cell in which the part of a row meets another; a single part is a cell."""
-    times = np.maximum(parts - 1, 1)
-    row = np.repeat(np.arange(len(part)), times)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-    own = part[row]
-    other = np.where(parts[row] > 1, other + (other >= own), own)
-    return row, np.minimum(own, other), np.maximum(own, other)
-
-
 def buckets(found: DataFrame, slices: int, frequent: tuple[np.ndarray, np.ndarray], part_docs: int, hot_entries: int) -> DataFrame:
     """Distinct buckets of several sets of similar size, a row a part: b1, b2 (digests of the bucket), part, parts, sets.
 
@@ -313,9 +306,8 @@ def buckets(found: DataFrame, slices: int, frequent: tuple[np.ndarray, np.ndarra
                 raw = np.concatenate(dealt)
                 at = np.minimum(np.searchsorted(hot_names, raw), len(hot_names) - 1)
                 parts = np.where(hot_names[at] == raw, hot_parts[at], 1)
-                row, low, high = parts_met((mix(digest.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), parts)
-                shingle, size, digest = shingle[row], size[row], digest[row]
-                shingle = np.where(parts[row] > 1, mix(shingle ^ (low * 65_536 + high + 1).astype(np.uint64)), shingle)
+                part = mix(digest.view(np.uint64)) % parts.astype(np.uint64)
+                shingle = np.where(parts > 1, mix(shingle ^ (part + np.uint64(1))), shingle)
             to = (shingle >> np.uint64(32)) % np.uint64(slices)
             order = np.lexsort((shingle, to))
             cuts = np.searchsorted(to[order], np.arange(slices + 1).astype(np.uint64))
@@ -368,19 +360,38 @@ def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def entries(bucket_rows: DataFrame) -> DataFrame:
-    """cell, h1: each part's sets, once for each cell where the part meets another."""
+    """cell, group, parts, h1: each part's sets; a part is a cell."""
 
     def run(batches):
         for batch in batches:
             b1, part, parts = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
-            row, low, high = parts_met(part, parts)
-            cell = np.where(parts[row] > 1, mix(b1[row].view(np.uint64) + (low * 65_536 + high + 1).astype(np.uint64)).view(np.int64), b1[row])
+            cell = np.where(parts > 1, mix(b1.view(np.uint64) + (part + 1).astype(np.uint64)).view(np.int64), b1)
             sets = batch.column(4).to_pylist()
-            for a in range(0, len(row), 100):
-                some = [np.frombuffer(sets[i], np.int64) for i in row[a : a + 100].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell[a : a + 100], [len(x) for x in some])), pa.array(np.concatenate(some))], ["cell", "h1"])
+            for a in range(0, len(cell), 100):
+                some = [np.frombuffer(x, np.int64) for x in sets[a : a + 100]]
+                many = [len(x) for x in some]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c[a : a + 100], many)) for c in (cell, b1, parts)), pa.array(np.concatenate(some))], ["cell", "group", "parts", "h1"])
 
-    return bucket_rows.mapInArrow(tidy(run), "cell long, h1 long")
+    return bucket_rows.mapInArrow(tidy(run), "cell long, group long, parts long, h1 long")
+
+
+def hot_shingles(found: DataFrame, frequent: tuple[np.ndarray, np.ndarray], part_docs: int, hot_entries: int) -> DataFrame:
+    """group, parts, h1: the sets of each shingle that `buckets` has split before it saw them."""
+    hot = frequent[1] >= 2 * hot_entries
+    order = np.argsort(frequent[0][hot])
+    names, parts = frequent[0][hot][order], -(-frequent[1][hot][order] // part_docs)
+
+    def run(batches):
+        for batch in batches:
+            dealt = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if not dealt:
+                continue
+            shingle, h1 = np.concatenate(dealt), np.repeat(batch.column(0).to_numpy(), [len(x) for x in dealt])
+            at = np.minimum(np.searchsorted(names, shingle), len(names) - 1)
+            is_hot = names[at] == shingle
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[is_hot].view(np.int64)), pa.array(parts[at[is_hot]]), pa.array(h1[is_hot])], ["group", "parts", "h1"])
+
+    return found.where("n > 3").select("h1", "dealt").mapInArrow(tidy(run), "group long, parts long, h1 long").distinct() if len(names) else None
 
 
 def whole_cells(batches, weigh, rows: int, size: int):
@@ -404,25 +415,24 @@ def whole_cells(batches, weigh, rows: int, size: int):
 
 
 def relatives(cells: DataFrame) -> DataFrame:
-    """node, root of every node that the bound allows to be similar to another of its cell; cells: cell, node, n, vector."""
+    """a, b: a tree over the nodes of each cell that the bound allows to be similar; cells: cell, node, n, vector."""
 
     def run(batches):
         for table in whole_cells(batches, lambda b: b.column(3).nbytes, ROWS, VECTOR_BYTES):
             cell, node, n = (table.column(i).to_numpy() for i in range(3))
             sizes = n.astype(np.int64)
             vectors = [read_vector(v, g) for v, g in zip(table.column(3).to_pylist(), group_count(sizes).tolist(), strict=True)]
-            root, flagged = np.arange(len(cell)), np.zeros(len(cell), bool)
+            root = np.arange(len(cell))
             for q, e in cell_pairs(cell, fold(vectors, GROUPS), sizes):
                 open_ = (root[q] != root[e]) & (node[q] != node[e])
                 q, e = q[open_], e[open_]
                 fine = bounds(vectors, q, e) >= needed(sizes[q], sizes[e])
                 q, e = q[fine], e[fine]
                 unite(root, q, e)
-                flagged[q] = flagged[e] = True
-            at = np.flatnonzero(flagged)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["node", "root"])
+            at = np.flatnonzero(node[root] != node)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "node long, root long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -492,20 +502,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_d
     placed = entries(bucket_rows)
     nodes = classes.select("node", "h1").join(placed.select("h1").distinct(), "h1", "left_semi")
     points = found.select(F.col("row").alias("node"), "n", "vector").join(nodes, "node")
-    flagged = materialize(relatives(placed.join(points, "h1").select("cell", "node", "n", "vector")).distinct(), "relatives")
-    families = components(flagged.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b"))
+    near = materialize(relatives(placed.join(points, "h1").select("cell", "node", "n", "vector")).distinct(), "relatives")
+    wide, hot = entries(bucket_rows.where("parts > 1")).select("group", "parts", "h1"), hot_shingles(found, frequent, part_docs, hot_entries)
+    wide = (wide.union(hot) if hot else wide).join(classes.select("node", "h1"), "h1").select("group", "node", "parts")
+    near = join_parts(wide, near, lambda cells: relatives(cells.join(points.select("node", "n", "vector"), "node").select("cell", "node", "n", "vector")))
+    families = components(near)
     members = families.join(found.select(F.col("row").alias("node"), "doc_id", "n", "h1", "h2"), "node")
     members = materialize(members, "members")
     size = members.groupBy("label").agg(F.sum("n").alias("shingles"), F.count("*").alias("docs"))
-    parts = F.greatest(F.ceil(8 * F.col("shingles") / part_bytes), F.ceil(F.col("docs") / family_docs)).cast("int")
-    size = size.select("label", parts.alias("parts"), "docs")
+    parts = F.greatest(F.ceil(8 * F.col("shingles") / part_bytes), F.ceil(F.col("docs") / family_docs))
+    size = size.select("label", parts.cast("long").alias("parts"), "docs")
     dealt = skew_safe_lookup(members.select("node", "label"), size, ["label"], "docs", members.count(), how="inner")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    others = F.when(F.col("parts") > 1, F.expr("filter(sequence(0, parts - 1), o -> o != part)")).otherwise(F.array("part"))
-    dealt = dealt.select("node", "label", "part", F.explode(others).alias("other"))
-    dealt = dealt.select("node", F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
-    sets = full_sets(docs, members)
-    links = materialize(family_links(dealt.join(sets, "node").select("cell", "node", "shingles")), "family-links")
+    cell = F.xxhash64("label", F.pmod(F.xxhash64("node"), "parts"))
+
+    def verify(cells: DataFrame, of: DataFrame) -> DataFrame:
+        return family_links(cells.join(full_sets(docs, of), "node").select("cell", "node", "shingles"))
+
+    links = materialize(verify(dealt.select("node", cell.alias("cell")), members), "family-links")
+    wide = dealt.where("parts > 1").select(F.col("label").alias("group"), "node", "parts")
+    links = join_parts(wide, links, lambda cells: verify(cells, members.join(cells.select("node").distinct(), "node", "left_semi")))
     links = links.union(shared_id_links(found, classes))
     labels = components(links)
     named = classes.join(labels, "node", "left").select("h1", "h2", "members", "first_id", F.coalesce("label", "node").alias("label"))
@@ -514,7 +529,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_d
     named = skew_safe_lookup(named, names, ["label"], "nodes", named.count(), how="inner").select("h1", "h2", "members", "component")
     out = skew_safe_lookup(found.select("doc_id", "n", "h1", "h2"), named, ["h1", "h2"], "members", found.count())
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    discard(bucket_rows, flagged, members)
+    discard(bucket_rows, members)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
