@@ -20,8 +20,9 @@ is compared byte by byte.
 
 Texts are UTF-8 bytes, null counts as empty; matches never cross documents.  Earlier means a smaller doc_id, or the same
 document and an earlier start.  Rows that share a doc_id are documents of their own, in an order that is kept for the run.
-Rows without doc_id lose nothing and make none lose anything.  A text below MIN_BYTES loses nothing; texts of up to 2 GB, all
-that a row can hold, are taken whole.  Ties cannot occur, since places differ.  Other columns are neither needed nor touched,
+Rows without doc_id lose nothing and make none lose anything.  A text below MIN_BYTES loses nothing; longer
+ones count whole: those above CHUNK_BYTES are looked at in overlapping parts, which decide nothing, so a task needs some three
+bytes for a byte of its longest text (a row can hold 2 GB).  Ties cannot occur, since places differ.  Other columns are neither needed nor touched,
 whatever their names; an empty table gives an empty result.
 """
 
@@ -43,6 +44,8 @@ from .words import Words, blocks, mix
 MIN_BYTES, K = 100, 32
 #: Entries of the table of frequent anchors, 8 bytes each; and bytes of spans that are sorted at a time.
 MAX_FREQUENT, SORT_BYTES = 65_536, 1_000_000
+#: Bytes of a text that are looked at together.
+CHUNK_BYTES = 2_000_000
 _PLACE = 31  # bits of a place in a text
 _EMPTY = np.zeros(0, np.int64)
 
@@ -69,12 +72,27 @@ def spans(raws: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray,
     return texts, doc[first], start[first], np.diff(np.append(first, total)), place[first]
 
 
+def windows_of(texts: pa.Array):
+    """(first row, texts, place) of consecutive rows; a text above CHUNK_BYTES comes in parts that overlap by a window less a byte."""
+    for at, raws in blocks(texts):
+        row = 0
+        for i, raw in enumerate([*raws, None]):
+            if raw is not None and len(raw) <= CHUNK_BYTES:
+                continue
+            if i > row:
+                yield at + row, raws[row:i], 0
+            if raw is not None:
+                for start in range(0, len(raw) - MIN_BYTES + 1, CHUNK_BYTES):
+                    yield at + i, [raw[start : start + CHUNK_BYTES + MIN_BYTES - 1]], start
+            row = i + 1
+
+
 def frequent_anchors(docs: DataFrame) -> np.ndarray:
     """The anchors that occur most often, sorted; a batch leaves out what it has rarely.  It decides speed, not results."""
 
     def run(batches):
         for batch in batches:
-            found = [texts.hashes(place, place + K) for _, raws in blocks(batch.column(1)) for texts, _, _, _, place in [spans(raws)]]
+            found = [texts.hashes(place, place + K) for _, raws, _ in windows_of(batch.column(1)) for texts, _, _, _, place in [spans(raws)]]
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 some = counts > max(3, batch.num_rows // 1000)
@@ -122,7 +140,7 @@ def deal(docs: DataFrame, frequent: np.ndarray, slices: int) -> DataFrame:
         for batch in batches:
             parts = []
             ids = batch.column(0).to_numpy()
-            for at, raws in blocks(batch.column(1)):
+            for at, raws, part in windows_of(batch.column(1)):
                 texts, doc, first, windows, place = spans(raws)
                 if not len(doc):
                     continue
@@ -137,7 +155,7 @@ def deal(docs: DataFrame, frequent: np.ndarray, slices: int) -> DataFrame:
                 span = texts.hashes(first, first + windows + MIN_BYTES - 1)
                 if len(hot):
                     anchor = np.where(split, mix(anchor ^ span), anchor)
-                parts.append((anchor, span, ids[at + doc], first - texts.off[doc], windows))
+                parts.append((anchor, span, ids[at + doc], first - texts.off[doc] + part, windows))
             if not parts:
                 continue
             anchor, span, doc, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
