@@ -20,15 +20,15 @@ COUNTRIES = ["NATION_3", "USA", "Germany", "nation_1", ""]
 SIZES = [(50, 500), (None, 300), (100, None), (None, None)]
 TECHNOLOGIES = [["React"], ["Python", "Stripe"], [], ["cloud"]]
 TITLES = [["CTO"], ["CEO", "Founder"], ["VP  Engineering"], ["Manager"], [], ["Office Manager", "owner"]]
-SEARCHES = 101
+#: Companies of a search follow one another in the table; every search of `part` is read.
+A_SEARCH = 7
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """search_id, target, target_country, size_min, size_max, wanted (technologies), titles."""
     key = F.col("p_partkey")
     pick = lambda values: F.element_at(F.array(*map(literal, values)), (key % len(values) + 1).cast("int"))
-    rows = model.table(spark, sf_dir, "part").where(key < SEARCHES + 1)
-    return rows.select(key.alias("search_id"), pick(TARGETS).alias("target"), pick(COUNTRIES).alias("target_country"), pick([s[0] for s in SIZES]).alias("size_min"), pick([s[1] for s in SIZES]).alias("size_max"), pick(TECHNOLOGIES).alias("wanted"), pick(TITLES).alias("titles"))
+    return model.table(spark, sf_dir, "part").select(key.alias("search_id"), pick(TARGETS).alias("target"), pick(COUNTRIES).alias("target_country"), pick([s[0] for s in SIZES]).alias("size_min"), pick([s[1] for s in SIZES]).alias("size_max"), pick(TECHNOLOGIES).alias("wanted"), pick(TITLES).alias("titles"))
 
 
 def _pick_sql(values: list) -> str:
@@ -36,13 +36,13 @@ def _pick_sql(values: list) -> str:
 
 
 _SEARCHES = f"""SELECT p_partkey AS search_id, {_pick_sql(TARGETS)} AS target, {_pick_sql(COUNTRIES)} AS target_country, {_pick_sql([s[0] for s in SIZES])} AS size_min, {_pick_sql([s[1] for s in SIZES])} AS size_max,
- {_pick_sql(TECHNOLOGIES)} AS wanted, {_pick_sql(TITLES)} AS titles FROM part WHERE p_partkey < {SEARCHES + 1}"""
-_OWN_SEARCH = f"(company_id % {SEARCHES} + 1)"
+ {_pick_sql(TECHNOLOGIES)} AS wanted, {_pick_sql(TITLES)} AS titles FROM part"""
+_OWN_SEARCH = f"(company_id // {A_SEARCH})"
 
 
 def found_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies with the criteria of their search; searches are the small side of an ordinary equi-join."""
-    found = model.companies(spark, sf_dir).withColumn("search_id", (C("company_id") % SEARCHES + 1).cast("long"))
+    found = model.companies(spark, sf_dir).withColumn("search_id", F.floor(C("company_id") / A_SEARCH).cast("long"))
     return found.join(searches(spark, sf_dir).withColumn("search_id", C("search_id").cast("long")), "search_id")
 
 
@@ -84,7 +84,7 @@ _JUDGED = f"""SELECT company_id, target, target_country, size_min, size_max, emp
  len(list_filter(wanted, lambda w: NOT {_OWNED})) = 0 AS has_technologies, CASE WHEN len(wanted) = 0 THEN 1.0 ELSE len(list_filter(wanted, lambda w: {_OWNED})) / len(wanted)::DOUBLE END AS technology_share
  FROM (SELECT c.*, s.* EXCLUDE search_id, {_TEXT} AS t, {_TYPE} AS kind, {_NORM('country')} AS own, {_NORM('target_country')} AS name_, lower(concat_ws(' ', nullif(description, ''), nullif(domain, ''))) AS low,
   CASE WHEN contains(domain, '.') THEN {_TLDS}[string_split(lower(domain), '.')[-1]] END AS hint
-  FROM companies c JOIN ({_SEARCHES}) s ON s.search_id = company_id % {SEARCHES} + 1)
+  FROM companies c JOIN ({_SEARCHES}) s ON s.search_id = company_id // {A_SEARCH})
  JOIN ({" UNION ALL ".join(f"SELECT *, '{t}' AS target FROM ({_match_sql(t)})" for t in TARGETS)}) USING (company_id, target)"""
 
 
@@ -165,7 +165,7 @@ _HELD = f"""SELECT *, t NOT IN ({_UNKNOWN}) AND NOT ({_has('t', titles.NO_DECISI
 
 @query("FLT17_titles_by_search", with_views(f"SELECT contact_id, company_id, fits, {_chain('title', titles.DECISION_RANKS, '0')} AS rank FROM ({_HELD})"))
 def titles_by_search(spark, sf_dir):
-    c = model.contacts(spark, sf_dir).withColumn("search_id", (C("company_id") % SEARCHES + 1).cast("long"))
+    c = model.contacts(spark, sf_dir).withColumn("search_id", F.floor(C("company_id") / A_SEARCH).cast("long"))
     rows = c.join(searches(spark, sf_dir).select(C("search_id").cast("long").alias("search_id"), "titles"), "search_id")
     return rows.select("contact_id", "company_id", titles.title_matches_any(C("title"), C("titles")).alias("fits"), titles.decision_rank(C("title")).alias("rank"))
 
