@@ -7,6 +7,7 @@ timers need and is emptied by them, so it follows the rows of one waiting time,
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,43 +29,81 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return frame
 
 
-class _FollowUps(StatefulProcessor):
-    """Rows of one person: mail_id (null for a reply) and at."""
+class _Waiting(StatefulProcessor):
+    """Lists of what waits for its time, and one timer a key: for the earliest.  What is over goes when the watermark has passed it."""
+
+    lists: dict[str, str] = {}  # name of a list: its schema, whose first field is a time
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mails = handle.getMapState("mails", "mail_id long", "sent long")
-        self.replies = handle.getMapState("replies", "at long", "n long")
+        self.held = {name: handle.getListState(name, schema) for name, schema in self.lists.items()}
+        self.next = handle.getValueState("next", "at long")
+
+    def close(self) -> None:
+        pass
+
+    def _wait_until(self, at: int | None) -> None:
+        """Sets the timer to an earlier time, or after it went off to a new one."""
+        now = self.next.get()[0] if self.next.exists() else None
+        if at is None or now is not None and now <= at:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(at)
+        self.next.update((at,))
+
+    def _add(self, rows: dict[str, list[tuple]]) -> None:
+        for name, values in rows.items():
+            if values:
+                self.held[name].appendList(values)
+        times = [r[0] for values in rows.values() for r in values]
+        self._wait_until(min(times) + self.wait_ms if times else None)
+
+    def _take(self, upto: int) -> dict[str, tuple[list[tuple], list[tuple]]]:
+        """Of each list what is over by then and what stays; what stays is kept, and waited for."""
+        out = {}
+        for name, state in self.held.items():
+            rows = sorted(tuple(r) for r in state.get()) if state.exists() else []
+            over, rest = [r for r in rows if r[0] + self.wait_ms <= upto], [r for r in rows if r[0] + self.wait_ms > upto]
+            if over and rest:
+                state.put(rest)
+            elif over:
+                state.clear()
+            out[name] = over, rest
+        self.next.clear()
+        left = [rest[0][0] for _, rest in out.values() if rest]
+        self._wait_until(min(left) + self.wait_ms if left else None)
+        return out
+
+
+class _FollowUps(_Waiting):
+    """Rows of one person: mail_id (null for a reply) and at."""
+
+    lists = {"mails": "at long, mail_id long", "replies": "at long"}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = {"mails": [], "replies": []}
         for batch in rows:
             for mail, at in zip(batch["mail_id"].tolist(), _ms(batch["at"]), strict=True):
                 if mail is None or pd.isna(mail):
-                    self.replies.updateValue((at,), (1,))
-                    self.handle.registerTimer(at + self.wait_ms)  # no mail needs it from then on
+                    new["replies"].append((at,))
                 else:
-                    self.mails.updateValue((int(mail),), (at,))
-                    self.handle.registerTimer(at + self.wait_ms)
-        yield _frame([], ["person", "mail_id", "state", "at"])
+                    new["mails"].append((at, int(mail)))
+        self._add(new)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        replies = sorted(r[0] for r in self.replies.keys())
-        for (mail,), (sent,) in list(self.mails.iterator()):
-            if sent + self.wait_ms <= now:
-                answer = next((r for r in replies if sent < r <= sent + self.wait_ms), None)
-                out.append((key[0], mail, "due" if answer is None else "cancelled", sent + self.wait_ms if answer is None else answer))
-                self.mails.removeKey((mail,))
-        for r in replies:
-            if r + self.wait_ms <= now:
-                self.replies.removeKey((r,))
-        yield _frame(out, ["person", "mail_id", "state", "at"])
-
-    def close(self) -> None:
-        pass
+        taken = self._take(timerValues.getCurrentWatermarkInMs())
+        replies = [at for part in taken["replies"] for (at,) in part]
+        out = []
+        for sent, mail in taken["mails"][0]:
+            at = bisect_right(replies, sent)
+            answer = replies[at] if at < len(replies) and replies[at] <= sent + self.wait_ms else None
+            out.append((key[0], mail, "due" if answer is None else "cancelled", sent + self.wait_ms if answer is None else answer))
+        return iter([_frame(out, ["person", "mail_id", "state", "at"])])
 
 
 def follow_ups(mails: DataFrame, replies: DataFrame, wait_ms: int, late: str = "10 minutes") -> DataFrame:
@@ -80,35 +119,19 @@ def follow_ups(mails: DataFrame, replies: DataFrame, wait_ms: int, late: str = "
     return rows.transformWithStateInPandas(statefulProcessor=_FollowUps(wait_ms), outputStructType=f"person {kind}, mail_id long, state string, at timestamp", outputMode="append", timeMode="EventTime")
 
 
-class _Entries(StatefulProcessor):
+class _Entries(_Waiting):
     """Rows of one key: entry and at; an entry lives until the next one, or until its time is over."""
 
-    def __init__(self, live_ms: int):
-        self.live_ms = live_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entries = handle.getMapState("entries", "at long, entry long", "n long")
+    lists = {"entries": "at long, entry long"}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for entry, at in zip(batch["entry"].tolist(), _ms(batch["at"]), strict=True):
-                self.entries.updateValue((at, int(entry)), (1,))
-                self.handle.registerTimer(at + self.live_ms)
-        yield _frame([], ["key", "entry", "expired_at"])
+        self._add({"entries": [(at, int(entry)) for batch in rows for entry, at in zip(batch["entry"].tolist(), _ms(batch["at"]), strict=True)]})
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        held = sorted((tuple(k) for k in self.entries.keys()), reverse=True)
-        for i, (at, entry) in enumerate(held):
-            if at + self.live_ms <= now:
-                if i == 0 or held[i - 1][0] > at + self.live_ms:
-                    out.append((key[0], entry, at + self.live_ms))
-                self.entries.removeKey((at, entry))
-        yield _frame(out, ["key", "entry", "expired_at"])
-
-    def close(self) -> None:
-        pass
+        over, rest = self._take(timerValues.getCurrentWatermarkInMs())["entries"]
+        out = [(key[0], entry, at + self.wait_ms) for (at, entry), later in zip(over, [*over[1:], *(rest[:1] or [None])], strict=True) if later is None or later[0] > at + self.wait_ms]
+        return iter([_frame(out, ["key", "entry", "expired_at"])])
 
 
 def expiries(writes: DataFrame, live_ms: int, late: str = "10 minutes") -> DataFrame:
