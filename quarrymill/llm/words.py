@@ -19,7 +19,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Spans of up to so many bytes are hashed eight bytes at a time over all spans at once, longer ones one by one.
 _SHORT = 32
-_STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA24BAED4963EE407)]
+_STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA24BAED4963EE407, 0x27D4EB2F165667C5)]
+_AT_A_TIME = 1 << 14
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,13 +66,20 @@ class Words:
     def window_hashes(self) -> np.ndarray:
         """Of the 32 bytes from each place on, one for each place that has so many after it."""
         n = max(0, len(self.data) - 31)
-        out = np.zeros(n, np.uint64)
-        for k, step in enumerate(_STEPS):
-            lane = self._lanes[8 * k : 8 * k + n] * step
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, _AT_A_TIME):  # what is worked on at a time stays in the cache
+            many = min(_AT_A_TIME, n - a)
+            lane = self._lanes[a : a + many + 24] * _STEPS[0]
             lane ^= lane >> np.uint64(29)
             lane *= np.uint64(_BASE)
-            out += lane ^ (lane >> np.uint64(32 - k))
-        return mix(out)
+            lane ^= lane >> np.uint64(32)
+            mixed = lane[:many] * _STEPS[1]
+            for k, step in enumerate(_STEPS[2:], 1):
+                mixed += lane[8 * k : 8 * k + many] * step
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(_BASE)
+            out[a : a + many] = mixed ^ (mixed >> np.uint64(29))
+        return out
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
