@@ -97,8 +97,16 @@ def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     return out.select(*rows.columns, (F.col("_before") + F.col("_nth")).alias("rank"))
 
 
-def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+#: The last row of a page up to which one task may hold all rows before it.
+NEAR = 10_000
+
+
+def page(rows: DataFrame, order: list, number: int, size: int, keys: list[Column] | None = None) -> DataFrame:
+    """A page by its number; keys: the same order as ascending columns, by which a page far down is taken from the ranks of all
+    rows, so that no task gets what stands before it."""
+    if number * size <= NEAR or not keys:
+        return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    return ranked(rows, keys).where(F.col("rank").between((number - 1) * size + 1, number * size)).drop("rank")
 
 
 def page_info(rows: DataFrame, number: int, size: int) -> DataFrame:
@@ -147,15 +155,22 @@ def soft_delete(contacts: DataFrame, discard: Column) -> DataFrame:
     return guarded_update(contacts, discard, {"discarded": F.lit(True), "email": F.lit(None), "linkedin_url": F.lit(None), "lead_score": F.lit(None), "channel": F.lit(None), "email_status": F.lit(None)})
 
 
-def replies_to_mails(replies: DataFrame, sent: DataFrame) -> DataFrame:
+def replies_to_mails(replies: DataFrame, sent: DataFrame, span: str = "day") -> DataFrame:
     """The first reply of each sent mail: same person, after it was sent.
 
-    Both sides go through one sort a person, latest first; a mail takes the last reply that has passed by, so no mail meets
-    every later reply.  At equal times a mail comes before a reply, which is not after it.
+    Both sides go through one sort a person and span of time, latest first; a mail takes the last reply that has passed by, so
+    no mail meets every later reply, and a person with very many of both is many tasks' work.  A mail without a reply in its own
+    span takes the first of the next span that has one, carried back over the spans of its person.  At equal times a mail
+    comes before a reply, which is not after it.
     """
     nobody = F.lit(None).cast("long")
     mails = sent.select("person", F.col("sent_at").alias("at"), F.lit(0).alias("kind"), F.col("mail_id").cast("long").alias("mail_id"), nobody.alias("reply_id"))
     answers = replies.select("person", F.col("reply_at").alias("at"), F.lit(1).alias("kind"), nobody.alias("mail_id"), F.col("reply_id").cast("long").alias("reply_id"))
-    passed = Window.partitionBy("person").orderBy(F.desc("at"), "kind", F.desc("reply_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = mails.union(answers).where(F.col("person").isNotNull()).withColumn("reply_id", F.last("reply_id", ignorenulls=True).over(passed))
-    return met.where("kind = 0 and reply_id is not null").select("mail_id", "reply_id")
+    both = mails.union(answers).where(F.col("person").isNotNull()).withColumn("span", F.date_trunc(span, "at"))
+    passed = Window.partitionBy("person", "span").orderBy(F.desc("at"), "kind", F.desc("reply_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("reply_id", F.last("reply_id", ignorenulls=True).over(passed)).where("kind = 0").select("person", "span", "mail_id", "reply_id")
+    spans = both.groupBy("person", "span").agg(F.min(F.when(F.col("kind") == 1, F.struct("at", "reply_id")))["reply_id"].alias("own"))
+    later = Window.partitionBy("person").orderBy("span").rowsBetween(1, Window.unboundedFollowing)  # a row a span
+    next_ = spans.withColumn("next", F.first("own", ignorenulls=True).over(later)).where(F.col("next").isNotNull()).select("person", "span", "next")
+    found = met.where(F.col("reply_id").isNotNull()).select("mail_id", "reply_id")
+    return found.union(met.where(F.col("reply_id").isNull()).join(next_, ["person", "span"]).select("mail_id", F.col("next").alias("reply_id")))

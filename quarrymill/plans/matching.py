@@ -26,9 +26,9 @@ _projection("FLT15_title_match", "contacts", "contact_id", {f"is_{w[0].lower().r
 _RANK = _chain("title", titles.DECISION_RANKS, "0")
 
 
-@query("SRT4_decision_rank", with_views(f"SELECT contact_id, full_name, {_RANK} AS rank FROM contacts ORDER BY {_RANK} DESC, full_name, contact_id LIMIT 50"))
+@query("SRT4_decision_rank", with_views(f"SELECT contact_id, full_name, {_RANK} AS rank FROM contacts ORDER BY {_RANK} DESC, full_name, contact_id"))
 def decision_rank(spark, sf_dir):
-    return model.contacts(spark, sf_dir).select("contact_id", "full_name", titles.decision_rank(C("title")).alias("rank")).orderBy(F.desc("rank"), "full_name", "contact_id").limit(50)
+    return model.contacts(spark, sf_dir).select("contact_id", "full_name", titles.decision_rank(C("title")).alias("rank")).orderBy(F.desc("rank"), "full_name", "contact_id")
 
 
 @query(
@@ -76,14 +76,14 @@ def validation(spark, sf_dir):
     "FLT11_relaxed_tiers",
     with_views(f"""SELECT company_id, tier, tier > 0 AS relaxed FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(domain, 'id' || company_id) ORDER BY tier, confidence DESC, company_id) AS nth
  FROM (SELECT *, CASE WHEN reasons = '' THEN 0 WHEN industry_score >= 0.12 THEN 1 WHEN reasons IN ('industry', 'country', 'size') THEN 2 WHEN industry_score >= 0.1 THEN 3 END AS tier FROM ({_VALID})) WHERE tier IS NOT NULL)
- WHERE nth = 1 ORDER BY tier, confidence DESC, company_id LIMIT 30"""),
+ WHERE nth = 1 ORDER BY tier, confidence DESC, company_id"""),
 )
 def relaxed_tiers(spark, sf_dir):
-    """Accepted companies, topped up tier by tier to thirty: one ordered top-k instead of counts on the driver."""
+    """Companies by the tier that takes them: accepted ones first, then those that a relaxed rule lets in."""
     tier = F.when(C("reasons") == "", 0).when(C("industry_score") >= 0.12, 1).when(C("reasons").isin("industry", "country", "size"), 2).when(C("industry_score") >= 0.1, 3)
     rows = validated(spark, sf_dir).withColumn("tier", tier).where("tier is not null")
     one = Window.partitionBy(F.coalesce("domain", F.concat(F.lit("id"), "company_id"))).orderBy("tier", F.desc("confidence"), "company_id")
-    return rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").orderBy("tier", F.desc("confidence"), "company_id").limit(30).select("company_id", "tier", (C("tier") > 0).alias("relaxed"))
+    return rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").orderBy("tier", F.desc("confidence"), "company_id").select("company_id", "tier", (C("tier") > 0).alias("relaxed"))
 
 
 _FIT = f"""SELECT company_id, CAST(least(100, floor(m.score * 28 + 0.5) + CASE WHEN contains({_TEXT}, 'software') THEN 18 ELSE 9 END + CASE WHEN country = 'NATION_3' THEN 18 ELSE 5 END
@@ -104,15 +104,15 @@ def company_fit(spark, sf_dir):
     return fit(spark, sf_dir).select("company_id", "fit")
 
 
-@query("SRT2_seed_rank", with_views(f"SELECT company_id, rank FROM (SELECT company_id, fit + 0.25::DOUBLE * confidence + CASE company_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 0 END AS rank FROM ({_FIT}) JOIN companies USING (company_id)) ORDER BY rank DESC, company_id LIMIT 40"))
+@query("SRT2_seed_rank", with_views(f"SELECT company_id, rank FROM (SELECT company_id, fit + 0.25::DOUBLE * confidence + CASE company_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 0 END AS rank FROM ({_FIT}) JOIN companies USING (company_id)) ORDER BY rank DESC, company_id"))
 def seed_rank(spark, sf_dir):
     rank = C("fit") + 0.25 * C("confidence") + F.when(C("company_id") % 3 == 0, 8).when(C("company_id") % 3 == 1, 4).otherwise(0)
-    return fit(spark, sf_dir).select("company_id", rank.alias("rank")).orderBy(F.desc("rank"), "company_id").limit(40)
+    return fit(spark, sf_dir).select("company_id", rank.alias("rank")).orderBy(F.desc("rank"), "company_id")
 
 
-@query("SRT6_listing_rank", with_views("SELECT company_id, name, confidence FROM companies ORDER BY confidence DESC, name, company_id LIMIT 40"))
+@query("SRT6_listing_rank", with_views("SELECT company_id, name, confidence FROM companies ORDER BY confidence DESC, name, company_id"))
 def listing_rank(spark, sf_dir):
-    return model.companies(spark, sf_dir).orderBy(F.desc("confidence"), "name", "company_id").limit(40).select("company_id", "name", "confidence")
+    return model.companies(spark, sf_dir).orderBy(F.desc("confidence"), "name", "company_id").select("company_id", "name", "confidence")
 
 
 @query("WIN5_stage_ratio", with_views("SELECT status, n, lag(n) OVER (ORDER BY status) AS before FROM (SELECT status, count(*) AS n FROM follow_ups GROUP BY status)"))
@@ -204,13 +204,6 @@ def enriched_view(spark, sf_dir):
     return model.contacts(spark, sf_dir).where("enriched_at is not null").select("contact_id", C("full_name").alias("name"), C("title").alias("role"))
 
 
-@query("JN12_name_blocks", with_views("SELECT a.contact_id AS a, b.contact_id AS b FROM contacts a JOIN contacts b ON a.company_id = b.company_id AND string_split(lower(a.full_name), ' ')[1] = string_split(lower(b.full_name), ' ')[1] AND a.contact_id < b.contact_id"))
-def name_blocks(spark, sf_dir):
-    """Only people of one company whose first names agree meet."""
-    c = model.contacts(spark, sf_dir).select("contact_id", "company_id", F.lower(text.first_name(C("full_name"))).alias("first"))
-    return c.select(C("contact_id").alias("a"), "company_id", "first").join(c.select(C("contact_id").alias("b"), "company_id", "first"), ["company_id", "first"]).where("a < b").select("a", "b")
-
-
 @query("JN11_mentions", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'mit license|apache license|general public')")
 def mentions(spark, sf_dir):
     """Terms in one pattern, so the text is read once and nothing is joined."""

@@ -203,14 +203,14 @@ def best_source(spark, sf_dir):
     return model.contacts(spark, sf_dir).where("email <> ''").groupBy("company_id").agg(F.max_by("email", F.struct(rank, -F.col("contact_id"))).alias("email"))
 
 
-@query("SRT1_company_rank", with_views("SELECT company_id, confidence FROM companies ORDER BY confidence DESC, employee_count DESC NULLS LAST, company_id LIMIT 50"))
+@query("SRT1_company_rank", with_views("SELECT company_id, confidence FROM companies ORDER BY confidence DESC, employee_count DESC NULLS LAST, company_id"))
 def company_rank(spark, sf_dir):
-    return model.companies(spark, sf_dir).orderBy(F.desc("confidence"), F.desc_nulls_last("employee_count"), "company_id").limit(50).select("company_id", "confidence")
+    return model.companies(spark, sf_dir).orderBy(F.desc("confidence"), F.desc_nulls_last("employee_count"), "company_id").select("company_id", "confidence")
 
 
-@query("SRT3_contact_rank", with_views("SELECT contact_id, full_name, confidence FROM contacts ORDER BY confidence DESC, full_name, contact_id LIMIT 50"))
+@query("SRT3_contact_rank", with_views("SELECT contact_id, full_name, confidence FROM contacts ORDER BY confidence DESC, full_name, contact_id"))
 def contact_rank(spark, sf_dir):
-    return model.contacts(spark, sf_dir).select("contact_id", "full_name", "confidence").orderBy(F.desc("confidence"), "full_name", "contact_id").limit(50)
+    return model.contacts(spark, sf_dir).select("contact_id", "full_name", "confidence").orderBy(F.desc("confidence"), "full_name", "contact_id")
 
 
 @query("SRT7_quotas", with_views("""SELECT company_id, country, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY company_id) AS nth, length(country) AS w FROM companies)
@@ -220,14 +220,20 @@ def quotas(spark, sf_dir):
     return R.quotas(rows, "country", "weight", 40, ["company_id"]).select("company_id", "country", "nth")
 
 
-@query("SRT8_ui_sorts", with_views("SELECT company_id, name FROM companies ORDER BY name, company_id LIMIT 30"))
+@query("SRT8_ui_sorts", with_views("SELECT company_id, name FROM companies ORDER BY name, company_id"))
 def ui_sorts(spark, sf_dir):
-    return model.companies(spark, sf_dir).orderBy("name", "company_id").limit(30).select("company_id", "name")
+    return model.companies(spark, sf_dir).orderBy("name", "company_id").select("company_id", "name")
 
 
 @query("SRT9_page", with_views("SELECT company_id, name FROM companies ORDER BY confidence DESC, company_id LIMIT 20 OFFSET 40"))
 def page(spark, sf_dir):
-    return R.page(model.companies(spark, sf_dir), [F.desc("confidence"), "company_id"], 3, 20).select("company_id", "name")
+    return R.page(model.companies(spark, sf_dir), [F.desc("confidence"), "company_id"], 3, 20, [-F.col("confidence"), F.col("company_id")]).select("company_id", "name")
+
+
+@query("SRT9_page_by_rank", with_views("SELECT contact_id, full_name FROM contacts ORDER BY confidence DESC, contact_id LIMIT 50 OFFSET 10450"))
+def page_by_rank(spark, sf_dir):
+    """The 210th page of the contacts, by rank; empty where there are fewer."""
+    return R.page(model.contacts(spark, sf_dir), [F.desc("confidence"), "contact_id"], 210, 50, [-F.col("confidence"), F.col("contact_id")]).select("contact_id", "full_name")
 
 
 @query("SRT9_page_info", with_views("SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS pages, 3 < greatest(1, ceil(count(*) / 20.0)) AS has_more FROM companies"))
@@ -235,9 +241,9 @@ def page_info(spark, sf_dir):
     return R.page_info(model.companies(spark, sf_dir), 3, 20)
 
 
-@query("SRT10_searches_by_update", with_views("SELECT search_id, name FROM searches ORDER BY updated_ord DESC NULLS FIRST, search_id LIMIT 40"))
+@query("SRT10_searches_by_update", with_views("SELECT search_id, name FROM searches ORDER BY updated_ord DESC NULLS FIRST, search_id"))
 def searches_by_update(spark, sf_dir):
-    return model.searches(spark, sf_dir).orderBy(F.desc_nulls_first("updated_ord"), "search_id").limit(40).select("search_id", "name")
+    return model.searches(spark, sf_dir).orderBy(F.desc_nulls_first("updated_ord"), "search_id").select("search_id", "name")
 
 
 @query("SET5_array_sets", "SELECT p_partkey AS search_id, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS keywords FROM part")

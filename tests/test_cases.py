@@ -1,5 +1,6 @@
 """Queries without SQL against brute force; branches that must occur; relational operators on awkward rows."""
 
+import random
 from datetime import timedelta
 from pathlib import Path
 
@@ -70,7 +71,32 @@ def test_counters_of_rows_without_key(spark):
 def test_first_reply_comes_strictly_after(spark):
     sent = spark.createDataFrame([(1, "p", "2024-01-01 00:00:00"), (2, "p", "2024-01-01 00:00:05"), (3, "q", "2024-01-01 00:00:00"), (4, None, "2024-01-01 00:00:00")], "mail_id long, person string, sent_at string").withColumn("sent_at", F.to_timestamp("sent_at"))
     got = spark.createDataFrame([(11, "p", "2024-01-01 00:00:05"), (10, "p", "2024-01-01 00:00:05"), (12, "p", "2024-01-01 00:00:09"), (13, "q", "2024-01-01 00:00:00"), (14, None, "2024-01-02 00:00:00")], "reply_id long, person string, reply_at string").withColumn("reply_at", F.to_timestamp("reply_at"))
-    assert sorted(map(tuple, relational.replies_to_mails(got, sent).collect())) == [(1, 10), (2, 12)]
+    for span in ("day", "minute", "second"):
+        assert sorted(map(tuple, relational.replies_to_mails(got, sent, span).collect())) == [(1, 10), (2, 12)]
+
+
+def test_replies_are_carried_back_over_spans(spark):
+    rng = random.Random(9)
+    sent = [(i, "hot" if i % 3 else f"p{i % 7}", rng.randrange(0, 90 * 86_400)) for i in range(300)]
+    got = [(1000 + i, "hot" if i % 4 else f"p{i % 7}", rng.randrange(0, 90 * 86_400)) for i in range(60)]
+    expected = {}
+    for mail, person, at in sent:
+        after = [(t, r) for r, who, t in got if who == person and t > at]
+        if after:
+            expected[mail] = min(after)[1]
+    frame = lambda rows, names: spark.createDataFrame(rows, f"{names[0]} long, person string, s long").select(names[0], "person", F.timestamp_seconds("s").alias(names[1]))
+    for span in ("hour", "day", "month"):
+        found = relational.replies_to_mails(frame(got, ("reply_id", "reply_at")), frame(sent, ("mail_id", "sent_at")), span)
+        assert {r["mail_id"]: r["reply_id"] for r in found.collect()} == expected
+
+
+def test_pages_far_down_are_those_of_the_whole_sort(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i * 7919 % 101) for i in range(1000)], "id long, v long")
+    order = [F.desc("v"), "id"]
+    near = [tuple(r) for r in relational.page(rows, order, 9, 20).collect()]
+    monkeypatch.setattr(relational, "NEAR", 10)
+    far = relational.page(rows, order, 9, 20, keys=[-F.col("v"), F.col("id")]).collect()
+    assert sorted(map(tuple, far)) == sorted(near) and len(near) == 20
 
 
 def test_people_of_a_hot_first_name_do_not_pair(spark):
