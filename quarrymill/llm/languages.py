@@ -146,8 +146,7 @@ class Profiles:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         at = np.where(self.code[at] == code, at, len(self.code))
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        missing = at == len(self.code)
-        apart = np.stack([np.add.reduceat(np.where(missing, RANKS, np.abs(own[at] - rank)), first) for own in self.rank])
+        apart = np.stack([np.add.reduceat(np.where(own[at] == RANKS, RANKS, np.abs(own[at] - rank)), first) for own in self.rank])
         best[doc[first]] = apart.argmin(axis=0)
         score[doc[first]] = 1 - apart.min(axis=0) / (RANKS * np.diff(np.append(first, len(doc))))
         return best, score
