@@ -150,3 +150,17 @@ EMPLOYEE_BANDS = [(10, "1 – 10"), (50, "11 – 50"), (200, "51 – 200"), (500
 
 # fixed values: weights of the six lead factors, and of the five parts of a profile's confidence
 LEAD_WEIGHTS = {"industry": 18, "type": 18, "size": 16, "location": 16, "role": 16, "technology": 16}
+
+# fixed values: what else stands for a keyword of a search, and keywords that belong together
+KEYWORD_SYNONYMS = {
+    "b2b": ["b2b", "business to business", "business-to-business", "enterprise", "saas"],
+    "software": ["software", "saas", "application", "platform", "it services", "technology"],
+    "saas": ["saas", "software as a service", "cloud software", "subscription"],
+    "startup": ["startup", "start-up", "scale-up"],
+    "tech": ["tech", "technology"],
+    "healthtech": ["healthtech", "health tech", "digital health", "healthcare", "health care", "medtech", "medical", "telehealth"],
+    "healthcare": ["healthcare", "health care", "healthtech", "health tech", "digital health", "medtech", "medical", "patient"],
+    "medical": ["medical", "healthcare", "health care", "healthtech", "clinic", "hospital"],
+}
+HEALTH_CLUSTER = r"\b(healthtech|health tech|healthcare|health care|digital health|medtech|medical|telehealth|patient|clinical)\b"
+SOFTWARE_KEYWORDS = ["software", "saas", "cloud software", "b2b software"]
