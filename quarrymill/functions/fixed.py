@@ -164,3 +164,14 @@ KEYWORD_SYNONYMS = {
 }
 HEALTH_CLUSTER = r"\b(healthtech|health tech|healthcare|health care|digital health|medtech|medical|telehealth|patient|clinical)\b"
 SOFTWARE_KEYWORDS = ["software", "saas", "cloud software", "b2b software"]
+
+# fixed values: paths of a site where people stand, then those of contact pages; and what a link to such a page says
+LEADERSHIP_PATHS = [
+    "/about", "/about-us", "/about/team", "/about/leadership", "/about/management", "/about/our-team", "/about/our-leadership", "/team", "/our-team", "/leadership", "/management", "/staff",
+    "/department/key-management", "/key-management", "/people", "/our-people", "/board", "/board-of-directors", "/board-of-management", "/directors", "/executives", "/executive-team", "/senior-management",
+    "/senior-leadership", "/governance", "/who-we-are", "/about-us/our-story", "/company/about", "/company/about-us", "/who-we-are/team", "/who-we-are/leadership", "/our-company", "/our-company/leadership",
+    "/company/team", "/company/leadership", "/company/management", "/about-us/team", "/about-us/leadership", "/about-us/management", "/investors/leadership", "/investors/management", "/om-oss", "/om-oss/team",
+    "/ledning", "/vara-team", "/medarbetare", "/organisation",
+]
+CONTACT_PATHS = ["/contact", "/contact-us"]
+DIRECTORY_LINK = r"(team|people|staff|leadership|management|key-management|board|director|executive|governance|our-people|senior|about-us|about|who-we-are|awards|news|press|speakers|events|blog|announcements)"

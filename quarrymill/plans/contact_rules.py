@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, fixed
 from ..registry import query
-from ..sources import model
+from ..sources import csv_leads, model
 from ..sources.model import with_views
 
 C = F.col
@@ -59,3 +59,23 @@ def tiers(spark, sf_dir):
 def addresses(spark, sf_dir):
     """The address as a person's own, and as one that may be shown."""
     return _mailboxes(spark, sf_dir).select("contact_id", contacts.personal_email(C("mail"), C("full_name")).alias("personal"), contacts.public_email(C("mail")).alias("public"))
+
+
+_LABELS = {"valid": "Verified", "invalid": "Invalid", "catch_all": "Risky", "unknown": "Likely valid"}
+_CELLS = ["k.name", "''", "''", "k.country", "''", "''", "c.full_name", "c.title", "c.email", "CASE c.email_status " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _LABELS.items()) + " END", "CASE WHEN c.email <> '' THEN 'email, direct' WHEN c.linkedin_url <> '' THEN 'profile \"only\"' END", "c.linkedin_url", "CAST(c.confidence * 3 AS VARCHAR)", "''", "''", "CAST(k.confidence AS VARCHAR)", "k.website_url"]
+
+
+def _csv_sql(cell: str) -> str:
+    return f"CASE WHEN regexp_matches(coalesce({cell}, ''), '[\",\\n\\r]') THEN '\"' || replace(coalesce({cell}, ''), '\"', '\"\"') || '\"' ELSE coalesce({cell}, '') END"
+
+
+@query("SRC5_export_of_leads", with_views(f"SELECT c.contact_id, concat_ws(',', {', '.join(_csv_sql(x) for x in _CELLS)}) AS line FROM contacts c JOIN companies k ON c.company_id = k.company_id WHERE c.enriched_at IS NOT NULL"))
+def export_of_leads(spark, sf_dir):
+    """Enriched contacts as lines of the export, all seventeen columns in their order."""
+    people = model.contacts(spark, sf_dir).where("enriched_at is not null")
+    firms = model.companies(spark, sf_dir).select("company_id", C("name").alias("company"), "country", C("confidence").alias("confidenceScore"), C("website_url").alias("sourceUrl"))
+    label = F.coalesce(*[F.when(C("email_status") == a, b) for a, b in _LABELS.items()])
+    kind = F.when(C("email") != "", "email, direct").when(C("linkedin_url") != "", 'profile "only"')
+    rows = people.select("contact_id", "company_id", C("full_name").alias("contactName"), "title", "email", label.alias("emailStatus"), kind.alias("contactType"), C("linkedin_url").alias("linkedin"), (C("confidence") * 3).alias("leadScore")).join(firms, "company_id")
+    cells = csv_leads.export(rows.withColumn("website", F.lit("")), "contact_id")
+    return csv_leads.csv_lines(cells, "contact_id")

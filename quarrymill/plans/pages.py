@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import pages as P
-from ..operators import html_nodes
+from ..operators import html_nodes, site_paths
 from ..operators import page_people as people
 from ..registry import query
 from ..sources import model
@@ -151,3 +152,28 @@ _ANSWERS = [
     (None, ""),
 ]
 case_query("HTM11_people_of_answer", {"answer": [a for a, _ in _ANSWERS]}, lambda df: {"people": P.as_text(P.people_of_answer(C("answer")))}, {"people": [p for _, p in _ANSWERS]})
+
+_HOST = "regexp_extract(lower(url), '^(?:https?://)?([^/:?#\\s]+)', 1)"
+_LINK = fixed.DIRECTORY_LINK
+_SKIPPED = r"\.(pdf|zip|png|jpg|jpeg|gif|svg|css|js)$"
+_USUAL = ", ".join(f"('{p}', {i})" for i, p in enumerate(["", *fixed.LEADERSHIP_PATHS, *fixed.CONTACT_PATHS]))
+
+
+@query(
+    "HTM10_site_paths",
+    f"""WITH fronts AS (SELECT page_id, {_HOST} AS host, {_BARE} AS bare FROM pages WHERE html IS NOT NULL),
+ links AS (SELECT page_id, unnest(l) AS path, generate_subscripts(l, 1) AS nth FROM (SELECT page_id, regexp_extract_all(bare, '<a href="(/[^"]*)"', 1) AS l FROM fronts)),
+ home AS (SELECT page_id, 1 AS part, nth, path FROM (SELECT page_id, nth, regexp_replace(regexp_replace(path, '[?#].*$', ''), '/$', '') AS path FROM links) WHERE path <> '' AND length(path) <= 120 AND NOT regexp_matches(path, '{_SKIPPED}', 'i') AND regexp_matches(path, '{_LINK}', 'i')),
+ mapped AS (SELECT page_id, 2 AS part, 1 AS nth, '/Team' AS path FROM fronts UNION ALL SELECT page_id, 2, 2, '/news/' || page_id FROM fronts WHERE page_id % 3 = 0),
+ every AS (SELECT * FROM home UNION ALL SELECT * FROM mapped UNION ALL SELECT page_id, CASE WHEN u.path = '' THEN 0 ELSE 3 END, nth, u.path FROM fronts, (VALUES {_USUAL}) u(path, nth)),
+ once AS (SELECT page_id, arg_min(path, part * 1000000 + nth) AS path, min(part * 1000000 + nth) AS ord FROM every GROUP BY page_id, lower(path))
+ SELECT page_id, place::INTEGER AS place, 'https://' || regexp_replace(host, '^www\\.', '') || path AS url FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS place FROM once) JOIN fronts USING (page_id) WHERE place <= {22 + len(fixed.LEADERSHIP_PATHS)}""",
+)
+def paths_of_sites(spark, sf_dir):
+    """Where people may stand on each page's site: its links, a sitemap with other hosts, files and doubles, and the usual paths."""
+    rows = model.table(spark, sf_dir, "pages").where(C("html").isNotNull())
+    fronts = rows.select(C("page_id").alias("page"), F.regexp_extract(F.lower("url"), r"^(?:https?://)?([^/:?#\s]+)", 1).alias("host"), "html")
+    at = lambda path: F.concat(F.lit("<url><loc> https://"), C("host"), path, F.lit(" </loc></url>"))
+    news = F.when(C("page") % 3 == 0, at(F.concat(F.lit("/news/"), "page", F.lit("/?x=1")))).otherwise("")
+    xml = F.concat(F.lit("<urlset>"), at(F.lit("/")), at(F.lit("/Team/")), F.lit("<url><loc>https://elsewhere.example/team</loc></url>"), at(F.lit("/board.pdf")), at(F.lit("/shop")), news, F.lit("</urlset>"))
+    return site_paths.site_paths(fronts, fronts.select("page", xml.alias("xml"))).select(C("page").alias("page_id"), "place", "url")

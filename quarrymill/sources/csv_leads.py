@@ -50,15 +50,15 @@ def entities(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return first.select("key", "company", "domain", "industry", "country", "city"), keyed.select("key", "contactName", "title", "email", "linkedin")
 
 
-def export(rows: DataFrame) -> DataFrame:
-    """The fixed columns as text, blank where a lead has none."""
-    return rows.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in EXPORT])
+def export(rows: DataFrame, *keys: str) -> DataFrame:
+    """The fixed columns as text, blank where a lead has none; keys: columns that go before them as they are."""
+    return rows.select(*keys, *[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in EXPORT])
 
 
-def csv_lines(rows: DataFrame) -> DataFrame:
-    """line: a row as CSV, quoted only where a cell holds a quote, a comma or a line end."""
+def csv_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """line: a row as CSV, quoted only where a cell holds a quote, a comma or a line end; keys go beside it."""
     cell = lambda c: F.when(F.col(c).rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
-    return rows.select(F.concat_ws(",", *[cell(c) for c in rows.columns]).alias("line"))
+    return rows.select(*keys, F.concat_ws(",", *[cell(c) for c in rows.columns if c not in keys]).alias("line"))
 
 
 def write(rows: DataFrame, path: str) -> None:
