@@ -207,3 +207,57 @@ def test_expiries_and_new_keys(spark, tmp_path):
 
 def test_new_folder_needs_a_shared_one(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+@pytest.mark.parametrize(
+    "text, keywords, fits",
+    [
+        ("we sell anything", [], True), ("we sell anything", None, True), ("we sell anything", [" ", ""], True),
+        ("an it services firm", ["Software"], True), ("an it services firm", ["software", "B2B"], True), ("an it services firm", ["b2b"], False),
+        ("a telehealth firm", ["healthtech", "clinical"], True), ("a telehealth firm", ["healthtech", "robots"], False), ("a bakery", ["healthtech", "medical"], False),
+        ("robots and arms", ["robots", "arms"], True), ("robots", ["robots", "arms"], False), (None, ["robots"], None),
+    ],
+)
+def test_keywords_of_a_search(spark, text, keywords, fits):
+    from pyspark.sql import functions as F
+
+    from quarrymill.functions.search_lists import keywords_match
+
+    df = spark.createDataFrame([(text, keywords)], "text string, keywords array<string>")
+    assert df.select(keywords_match(F.col("text"), F.col("keywords"))).first()[0] == fits
+
+
+def test_exclusions_of_a_search(spark):
+    from pyspark.sql import functions as F
+
+    from quarrymill.functions.search_lists import excluded
+
+    names = ["name", "domain", "industry", "country", "domains", "industries", "keywords", "countries"]
+    schema = "name string, domain string, industry string, country string, domains array<string>, industries array<string>, keywords array<string>, countries array<string>"
+    rows = [
+        (("Acme", "acme.example", "Retail", "Sweden", ["https://www.ACME.example/x"], [], [], []), True),
+        (("Acme", None, "Retail", "Sweden", ["acme.example"], [], [], []), False),
+        (("Acme", "a.example", "Online Retail", "Sweden", [], ["retail"], [], []), True),
+        (("Acme", "a.example", "Retail", "Sweden", [], [], ["CME RET"], []), True),
+        (("Acme", "a.example", None, None, [], ["x"], ["y"], ["z"]), False),
+        (("Acme", "a.example", "Retail", "New Sweden", [], [], [], ["sweden"]), True),
+        (("Acme", "a.example", "Retail", "Sweden", None, None, None, None), False),
+    ]
+    found = spark.createDataFrame([r for r, _ in rows], schema).select(excluded(*map(F.col, names)).alias("out")).collect()
+    assert [r["out"] for r in found] == [out for _, out in rows]
+
+
+@pytest.mark.parametrize(
+    "href, path",
+    [
+        ("/team/", "/team"), ("team/us?x=1#y", "/team/us"), ("https://www.Acme.example/About", "/About"), ("//acme.example/a/", "/a"), ("http://other.example/team", None), ("https://acme.example.evil.example/team", None),
+        ("/", None), ("https://acme.example", None), ("/board.PDF", None), ("/" + "x" * 120, None), ("javascript:void(0)", None), ("tel:+123", None), (" /our-team ", "/our-team"), ("?q=1", None), (None, None),
+    ],
+)
+def test_paths_on_the_same_host(spark, href, path):
+    from pyspark.sql import functions as F
+
+    from quarrymill.operators.site_paths import site_path
+
+    df = spark.createDataFrame([(href, "www.acme.example")], "href string, host string")
+    assert df.select(site_path(F.col("href"), F.col("host"))).first()[0] == path
