@@ -36,7 +36,7 @@ _PEOPLE = [  # page, address, people
     ("<p><b>Jane Doe, Vice President of Sales</b>: hello</p><p>We win, said Bob Roe, chief executive officer.</p><p>Ann Poe, CTO was there.</p>", "https://acme.example/news/win", "Jane Doe|Vice President of Sales|-|-;Bob Roe|chief executive officer|-|-;Ann Poe|CTO|-|-"),
     ('<article><h4>Jane Doe</h4><span>Head of Growth</span></article><div class="staff"><p>Jane Doe</p>\n<p>Head of Growth</p></div>', "https://acme.example/", "Jane Doe|Head of Growth|-|-"),
     # name and title in different blocks, beside each other
-    ('<section class="about"><div><h3>Jane Doe</h3></div>\n<div>CEO &amp; Founder</div></section><section class="team">\n<h4>Erik Johansson</h4>\n<p>CEO &amp; Founder</p>\n</section>', "https://acme.example/", "Erik Johansson|CEO & Founder|-|-"),
+    ('<section class="about"><div><h3>Jane Doe</h3></div>\n<div>CEO &amp; Founder</div></section><section class="team">\n<h4>Nils Berg</h4>\n<p>CEO &amp; Founder</p>\n</section>', "https://acme.example/", "Nils Berg|CEO & Founder|-|-"),
     ("<div><h3>Jane Doe</h3><img><i>of us</i><div>Managing Director</div></div>", "https://acme.example/", "Jane Doe|Managing Director|-|-"),
     ('<li><h3>Jane Doe</h3><i><span class="qualification">CEO, MBBS</span></i></li>', "https://acme.example/", "Jane Doe|CEO, MBBS|-|-"),
     # a mailbox that is nobody's own gives the person once more, without the loose title
@@ -129,7 +129,7 @@ _PRESS = [
     ("<p><b>Jane Doe, Vice President of Sales</b>: hello</p><li><strong>Bob Roe, gardener</strong></li>", "Jane Doe|Vice President of Sales|-|-"),
     ('<p>"Great," said Dr. Jane Doe, chief robot officer. More.</p><p>said Bob Roe, owner "and so on"</p>', "Dr. Jane Doe|chief robot officer|-|-;Bob Roe|owner|-|-"),
     ("<div>Ann Poe, Managing Director and Jane Doe, Chief Financial Officer met. Ann Poe, CEO</div>", "Ann Poe|Managing Director|-|-;Jane Doe|Chief Financial Officer|-|-"),
-    ("<p><b>Brian O&rsquo;Donnell, Vice President</b>: Brian</p><p>&ldquo;Proud,&rdquo; said Craig P. Abod, Acme President.</p>", "Brian O'Donnell|Vice President|-|-;Craig P. Abod|Acme President|-|-"),
+    ("<p><b>Sean O&rsquo;Hara, Vice President</b>: Sean</p><p>&ldquo;Proud,&rdquo; said Tom P. Lund, Acme President.</p>", "Sean O'Hara|Vice President|-|-;Tom P. Lund|Acme President|-|-"),
     ("<p>Nobody here</p>", ""),
     (None, ""),
 ]
