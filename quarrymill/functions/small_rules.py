@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import countries
-from .text import decode_entities, is_domain, normalize_domain, snippet, strip_quoted
+from .text import decode_entities, is_domain, normalize_domain, once, snippet, strip_quoted
 
 # fixed values: codes of countries in public registers and entities of a public knowledge base
 ISO_CODES = {
@@ -127,29 +127,34 @@ def weights_problem(weights: list[Column]) -> Column:
 def part_text(payload: Column, depth: int = 3) -> Column:
     """The plain text of a mail's JSON: its own part, else of its parts the first plain one, else the first that holds one.
 
-    Parts nest to any depth in theory; depth is as far as the columns go.
+    Parts nest to any depth in theory; depth is as far as the columns go.  What a step finds is bound to a name, so that no
+    step repeats those before it.
     """
 
     def decoded(data: Column) -> Column:
         fixed = F.translate(data, "-_", "+/")
-        pad = F.repeat(F.lit("="), F.pmod(-F.length(fixed), F.lit(4)))
+        pad = F.repeat(F.lit("="), F.pmod(-F.length(data), F.lit(4)))
         return F.try_to_binary(F.concat(fixed, pad), F.lit("base64")).cast("string")
 
-    kind, data = F.get_json_object(payload, "$.mimeType"), F.get_json_object(payload, "$.body.data")
-    own = F.when((kind == "text/plain") & (F.coalesce(data, F.lit("")) != ""), decoded(data))
+    def own(payload: Column) -> Column:
+        return F.when(F.get_json_object(payload, "$.mimeType") == "text/plain", once(F.get_json_object(payload, "$.body.data"), lambda data: F.when(data != "", decoded(data))))
+
+    def below(parts: Column) -> Column:
+        plain = F.get(F.filter(parts, lambda p: F.get_json_object(p, "$.mimeType") == "text/plain"), F.lit(0))
+        nested = F.get(F.filter(F.transform(parts, lambda p: part_text(p, depth - 1)), lambda t: F.coalesce(t != "", F.lit(False))), F.lit(0))
+        return once(plain, lambda p: F.when(p.isNotNull(), own(p)).otherwise(nested))
+
     if not depth:
-        return own
-    parts = F.from_json(F.get_json_object(payload, "$.parts"), "array<string>")
-    plain = F.get(F.filter(parts, lambda p: F.get_json_object(p, "$.mimeType") == "text/plain"), F.lit(0))
-    nested = F.get(F.filter(F.transform(parts, lambda p: part_text(p, depth - 1)), lambda t: F.coalesce(t != "", F.lit(False))), F.lit(0))
-    return F.coalesce(own, F.when(plain.isNotNull(), part_text(plain, 0)).otherwise(nested))
+        return own(payload)
+    return F.coalesce(own(payload), once(F.from_json(F.get_json_object(payload, "$.parts"), "array<string>"), below))
 
 
 def reply_text(body: Column, fallback: Column) -> Column:
     """What a reply says, at most 500 characters: entities decoded, the quoted thread gone unless nothing else is left."""
-    source = F.coalesce(F.when(F.trim(body) != "", body), F.when(F.trim(fallback) != "", fallback))
-    clean = decode_entities(source)
-    return F.coalesce(snippet(F.coalesce(F.nullif(strip_quoted(clean), F.lit("")), F.trim(clean))), F.lit("Reply received"))
+    said = once(body, lambda b: F.when(F.trim(b) != "", b))
+    source = F.coalesce(said, F.when(F.trim(fallback) != "", fallback))
+    shown = once(decode_entities(source), lambda clean: F.coalesce(once(strip_quoted(clean), lambda own: F.when(own != "", own)), F.trim(clean)))
+    return F.coalesce(once(shown, snippet), F.lit("Reply received"))
 
 
 def relative_label(at: Column, now: Column) -> Column:

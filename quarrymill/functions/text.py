@@ -153,6 +153,11 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&#39;": "'",
 QUOTED_THREADS = [r"\s+On\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+[\s\S]+?\s+wrote:\s*", r"\s+On\s+[\s\S]+?\s+wrote:\s*", r"\n-{3,}\s*Original Message\s*-{3,}", r"\nFrom:\s*.+\nSent:", r"\n_{3,}"]
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with the value worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     for entity, char in ENTITIES.items():
         text = F.regexp_replace(text, f"(?i){entity}", char)
@@ -161,10 +166,13 @@ def decode_entities(text: Column) -> Column:
 
 def strip_quoted(text: Column) -> Column:
     """The text before the quoted thread that the first fitting pattern finds, without lines that begin with >."""
-    clean = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
-    places = [F.regexp_instr(clean, F.lit(f"(?i){pattern}")) for pattern in QUOTED_THREADS]
-    cut = F.coalesce(*[F.when(place > 1, place) for place in places])
-    lines = F.filter(F.split(F.when(cut.isNotNull(), F.substring(clean, F.lit(1), cut - 1)).otherwise(clean), "\n"), lambda line: ~F.ltrim(line).startswith(">"))
+
+    def before(clean: Column) -> Column:
+        places = [once(F.regexp_instr(clean, F.lit(f"(?i){pattern}")), lambda place: F.when(place > 1, place)) for pattern in QUOTED_THREADS]
+        return once(F.coalesce(*places), lambda cut: F.when(cut.isNotNull(), F.substring(clean, F.lit(1), cut - 1)).otherwise(clean))
+
+    own = once(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", ""), before)
+    lines = F.filter(F.split(own, "\n"), lambda line: ~F.ltrim(line).startswith(">"))
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from .model import table
+from .staging import spread
 
 
 def literal(value) -> Column:
@@ -37,7 +38,7 @@ def cases(spark: SparkSession, sf_dir: str, columns: dict[str, list], source: st
     n = len(next(iter(columns.values())))
     assert all(len(v) == n for v in columns.values())
     at = (F.col(key) % n + 1).cast("int")
-    return table(spark, sf_dir, source).select(F.col(key).alias("id"), *[F.element_at(F.array(*map(literal, values)), at).alias(name) for name, values in columns.items()])
+    return spread(table(spark, sf_dir, source).select(key), key).select(F.col(key).alias("id"), *[F.element_at(F.array(*map(literal, values)), at).alias(name) for name, values in columns.items()])
 
 
 def case_query(name: str, inputs: dict[str, list], run: Callable[[DataFrame], dict[str, Column]], expected: dict[str, list]) -> None:
