@@ -72,6 +72,10 @@ def validation(spark, sf_dir):
     return validated(spark, sf_dir).select("company_id", "reasons", "size_unknown", (C("reasons") == "").alias("accepted"))
 
 
+#: What no tier takes; it sorts last and goes after the window, as a filter before it would repeat every test of a tier.
+NO_TIER = 4
+
+
 @query(
     "FLT11_relaxed_tiers",
     with_views(f"""SELECT company_id, tier, tier > 0 AS relaxed FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(domain, 'id' || company_id) ORDER BY tier, confidence DESC, company_id) AS nth
@@ -80,10 +84,10 @@ def validation(spark, sf_dir):
 )
 def relaxed_tiers(spark, sf_dir):
     """Companies by the tier that takes them: accepted ones first, then those that a relaxed rule lets in."""
-    tier = F.when(C("reasons") == "", 0).when(C("industry_score") >= 0.12, 1).when(C("reasons").isin("industry", "country", "size"), 2).when(C("industry_score") >= 0.1, 3)
-    rows = validated(spark, sf_dir).withColumn("tier", tier).where("tier is not null")
+    tier = F.when(C("reasons") == "", 0).when(C("industry_score") >= 0.12, 1).when(C("reasons").isin("industry", "country", "size"), 2).when(C("industry_score") >= 0.1, 3).otherwise(NO_TIER)
+    rows = validated(spark, sf_dir).select("company_id", "domain", "confidence", tier.alias("tier"))
     one = Window.partitionBy(F.coalesce("domain", F.concat(F.lit("id"), "company_id"))).orderBy("tier", F.desc("confidence"), "company_id")
-    return rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").orderBy("tier", F.desc("confidence"), "company_id").select("company_id", "tier", (C("tier") > 0).alias("relaxed"))
+    return rows.withColumn("nth", F.row_number().over(one)).where((C("nth") == 1) & (C("tier") < NO_TIER)).orderBy("tier", F.desc("confidence"), "company_id").select("company_id", "tier", (C("tier") > 0).alias("relaxed"))
 
 
 _FIT = f"""SELECT company_id, CAST(least(100, floor(m.score * 28 + 0.5) + CASE WHEN contains({_TEXT}, 'software') THEN 18 ELSE 9 END + CASE WHEN country = 'NATION_3' THEN 18 ELSE 5 END
