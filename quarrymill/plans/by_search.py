@@ -11,7 +11,9 @@ from ..registry import query
 from ..sources import model
 from ..sources.cases import case_query, literal, sql_literal
 from ..sources.model import with_views
+from ..sources.staging import staged
 from .functions import _TEXT, _TYPE, C, _chain, _has, _match_sql
+from .matching import NO_TIER
 from .relevance import _BLOCK, _INVESTOR, _MEDIA
 
 #: Criteria that searches take by turns, so that all kinds occur on every table.
@@ -126,11 +128,12 @@ def tiers(spark, sf_dir):
     partial ranks, so no search is one task's window as a whole; accepted rows pass by and are only counted.
     """
     rows = judged(spark, sf_dir).withColumn("reasons", reasons()).withColumn("search_id", C("search_id").cast("long"))
-    tier = F.when(C("reasons") == "", 0).when(C("m.score") >= 0.12, 1).when(C("reasons").isin("industry", "country", "size"), 2).when(C("m.score") >= 0.1, 3)
-    rows = rows.withColumn("tier", tier).where("tier is not null").select("search_id", "company_id", "tier", "confidence", "domain")
+    tier = F.when(C("reasons") == "", 0).when(C("m.score") >= 0.12, 1).when(C("reasons").isin("industry", "country", "size"), 2).when(C("m.score") >= 0.1, 3).otherwise(NO_TIER)
+    rows = rows.withColumn("tier", tier).select("search_id", "company_id", "tier", "confidence", "domain")
     order = ["tier", F.desc("confidence"), "company_id"]
     once = Window.partitionBy("search_id", F.coalesce("domain", F.concat(F.lit("id"), "company_id"))).orderBy(*order)
-    rows = rows.withColumn("once", F.row_number().over(once)).where("once = 1")
+    rows = rows.withColumn("once", F.row_number().over(once)).where((C("once") == 1) & (C("tier") < NO_TIER))
+    rows = staged(rows.drop("once", "domain"), "tiers")
     accepted = rows.where("tier = 0").select("search_id", "company_id", "tier")
     count = accepted.groupBy("search_id").agg(F.count("*").alias("n"))
     part = Window.partitionBy("search_id", F.pmod(F.xxhash64("company_id"), F.lit(64))).orderBy(*order)
