@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has
+from .text import has, once
 
 # fixed values: business models in their order: id, pattern, the first phrase that stands for it
 MODELS = [
@@ -35,7 +35,7 @@ SMALL, ENGINEERING_LEADS = 250, r"\b(cto|vp engineering|vice president engineeri
 
 def business_models(words: Column) -> Column:
     found = F.array_compact(F.array(*[F.when(has(words, pattern), F.lit(model)) for model, pattern, _ in MODELS]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GENERAL[0])))
+    return once(found, lambda models: F.when(F.size(models) > 0, models).otherwise(F.array(F.lit(GENERAL[0]))))
 
 
 def query_variants(name: Column, industry: Column, country: Column, keywords: Column, size_max: Column) -> Column:
@@ -46,10 +46,7 @@ def query_variants(name: Column, industry: Column, country: Column, keywords: Co
     in_place = lambda text: F.when(here, F.concat(text, F.lit(" "), country)).otherwise(text)
     only_here = lambda test, text: F.when(here & test, F.concat(text if not isinstance(text, str) else F.lit(text), F.lit(" "), country))
     shop, health = F.lower(industry).rlike("e-?commerce"), F.lower(industry).contains("health")
-    model = F.get(business_models(words), F.lit(0))
-    phrase = F.lit(GENERAL[1])
-    for key, _, first in MODELS:
-        phrase = F.when(model == key, first).otherwise(phrase)
+    phrase = F.coalesce(*[F.when(has(words, pattern), F.lit(first)) for _, pattern, first in MODELS], F.lit(GENERAL[1]))
     named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in INDUSTRY_PHRASES.items() for x in pair]), F.lower(industry)), F.concat(industry, F.lit(" company")))
     first_two = F.array_join(F.slice(keywords, 1, 2), " ")
     said = name != ""
