@@ -11,6 +11,7 @@ from ..operators import page_people as people
 from ..registry import query
 from ..sources import model
 from ..sources.cases import case_query
+from ..sources.staging import spread
 
 C = F.col
 
@@ -73,7 +74,7 @@ def people_of_companies(spark, sf_dir):
     email = F.concat(F.lower(F.replace(name, F.lit(" "), F.lit("."))), F.lit("@acme.example"))
     layouts = ["<div class='team-card'>\n<h3 class='team-card__name'>%s</h3>\n<p class='team-card__title'>%s</p>\n<a href='mailto:%s'>mail</a></div>", "<main><h3>%s</h3><img src=x><p>%s</p></main>", "<table><tr><th>#1<th>#2<tr><td>%s<td>%s</table>", "<dl><dt>%s<dd>%s</dl>"]
     html = F.element_at(F.array(*[F.format_string(x, name, title, email) for x in layouts]), (key % 4 + 1).cast("int"))
-    pages = model.table(spark, sf_dir, "customer").select(key.alias("page"), html.alias("html"), F.lit("https://acme.example/").alias("url"))
+    pages = spread(model.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(key.alias("page"), html.alias("html"), F.lit("https://acme.example/").alias("url"))
     found = people.people(pages).select(C("page").alias("id"), F.explode("people").alias("p"))
     return found.select("id", "p.name", "p.title", "p.email")
 
@@ -86,6 +87,11 @@ _META = [  # page, title, description, profile links
 ]
 case_query("HTM4_metadata", {"html": [m[0] for m in _META]}, lambda df: _by_page(df, people.metadata(df.select(C("id").alias("page"), "html"))), {c: [m[i + 1] for m in _META] for i, c in enumerate(("title", "description", "linkedin", "twitter", "facebook"))})
 
+
+def _pages(spark, sf_dir):
+    return spread(model.table(spark, sf_dir, "pages").select(C("page_id").alias("page"), "html"), "page", 4_000)
+
+
 _PLAIN = "regexp_replace(replace(replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"
 _BARE = "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs')"
 
@@ -93,7 +99,7 @@ _BARE = "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>'
 @query("HTM4_page_metadata", f"SELECT page_id, {_PLAIN.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's'))")} AS title, trim(substr(trim({_PLAIN.format(f"regexp_replace(regexp_extract({_BARE}, '<p>(.*?)(<p>|</p>|</article>)', 1, 's'), '<[^>]*>', '', 'g')")}, ' ' || chr(10)), 1, 280)) AS description FROM pages")
 def page_metadata(spark, sf_dir):
     """Title and first paragraph of the pages as they are."""
-    told = people.metadata(model.table(spark, sf_dir, "pages").select(C("page_id").alias("page"), "html"))
+    told = people.metadata(_pages(spark, sf_dir))
     return told.select(C("page").alias("page_id"), "title", F.trim("description").alias("description"))
 
 
@@ -103,7 +109,7 @@ _COUNTED = {"p": "p", "li": "li", "a": "a", "article": "article", "br": "br"}
 @query("HTM5_page_elements", f"SELECT page_id, {', '.join(f"len(regexp_extract_all({_BARE}, '<{t}[ >]'))::BIGINT AS n_{t}" for t in _COUNTED)}, len(regexp_extract_all(regexp_extract({_BARE}, '<nav>(.*?)</nav>', 1, 's'), '<a '))::BIGINT AS nav_links FROM pages")
 def page_elements(spark, sf_dir):
     """Elements of each page by tag, and the links below its navigation."""
-    tree = html_nodes.nodes(model.table(spark, sf_dir, "pages").select(C("page_id").alias("page"), "html"))
+    tree = html_nodes.nodes(_pages(spark, sf_dir))
     below = F.exists(html_nodes.ancestors(), lambda s: s["tag"] == "nav")
     return tree.groupBy(C("page").alias("page_id")).agg(*[F.count_if(C("tag") == t).alias(f"n_{t}") for t in _COUNTED], F.count_if((C("tag") == "a") & below).alias("nav_links"))
 
