@@ -17,6 +17,7 @@ from ..functions import contacts
 from ..functions import pages as P
 from ..functions.relevance import plausible_name
 from ..functions.text import domain_of_url, has
+from ..sources.staging import staged
 from .html_nodes import ancestors, attribute, closest, kind, nodes
 
 C = F.col
@@ -122,7 +123,7 @@ def _first(items: Column, test) -> Column:
 
 def _people_of_candidates(candidates: DataFrame, tree: DataFrame) -> DataFrame:
     """page, rule, node, part, name, title, email, profile."""
-    below = _below(tree)
+    below = staged(_below(tree), "page-below")
     beside = below.select("page", C("context").alias("parent"), C("role").alias("beside"))
     contexts = candidates.select("page", "context").where(C("context").isNotNull()).distinct()
     lines = F.filter(F.transform(F.split("around", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
@@ -196,17 +197,19 @@ def press_people(tree: DataFrame) -> DataFrame:
 
 
 def tree_of(pages: DataFrame) -> DataFrame:
-    """pages: page, html, url.  The elements, with what the page's address says; is_body: the element that holds the text."""
+    """pages: page, html, url.  The elements, with what the page's address says; is_body: the element that holds the text.
+
+    Pages are read once and the elements written: what asks for people reads them several times."""
     told = pages.select("page", P.lists_people(C("url")).alias("leads"), P.tells_news(C("url")).alias("news"), domain_of_url(C("url")).alias("domain"))
-    tree = nodes(pages)
-    body = tree.where("tag = 'body'").groupBy("page").agg(F.min("node").alias("body"))
-    return tree.join(told, "page").join(body, "page", "left").withColumn("is_body", C("node") == F.coalesce("body", F.lit(0))).drop("body")
+    body = F.min(F.when(C("tag") == "body", C("node"))).over(Window.partitionBy("page"))
+    tree = nodes(pages).withColumn("is_body", C("node") == F.coalesce(body, F.lit(0)))
+    return staged(tree.join(told, "page"), "page-tree")
 
 
 def people(pages: DataFrame) -> DataFrame:
     """page, people (in order, array of struct(name, title, email, profile)); pages without people have an empty array."""
     tree = tree_of(pages)
-    found = _people_of_candidates(_candidates(_with_siblings(tree)), tree)
+    found = _people_of_candidates(staged(_candidates(_with_siblings(tree)), "page-candidates"), tree)
     found = found.unionByName(_json_people(tree)).unionByName(press_people(tree.where("news")))
     slug = F.lower(F.regexp_extract(F.coalesce("profile", F.lit("")), r"(?i)linkedin\.com/in/([a-z0-9_%-]+)", 1))
     found = found.withColumn("profile", F.when(slug != "", F.concat(F.lit("https://www.linkedin.com/in/"), slug)))

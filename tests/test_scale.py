@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrymill import registry
 from quarrymill.functions import intent, small_rules, text
+from quarrymill.operators import html_nodes, page_people, term_search
 from quarrymill.sources import cases, model
-from quarrymill.sources.staging import spread
+from quarrymill.sources.staging import spread, staged
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -57,3 +58,32 @@ def test_a_search_asks_for_its_model_once(spark, capsys):
     df = spark.createDataFrame([("", "Technology", "Germany", ["ml"], 10)], "n string, i string, c string, k array<string>, s int")
     plan = plan_of(df.select(intent.query_variants(*map(F.col, "nicks")).alias("q")), capsys)
     assert plan.count("software as a service") <= 2
+
+
+def test_spelling_sends_a_word_once(spark, tmp_path):
+    """Rows that leave a task follow the distinct words, not the rows that hold them nor the pairs that meet."""
+    names = spark.range(300).select(F.concat(F.lit("Name "), F.substring(F.md5(F.col("id").cast("string")), 1, 7)).alias("name"))
+    typed = spark.range(3_000).select(F.col("id").alias("typed_id"), F.concat(F.lit("nam "), F.substring(F.md5((F.col("id") % 30).cast("string")), 1, 7)).alias("typed"))
+    sent = []
+
+    def counting(df, name):
+        sent.append((name, df.count()))
+        return staged(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(term_search, "staged", counting)
+        rows = term_search.spelled(typed, names).collect()
+    assert len(rows) == 3_000 and {r["distance"] for r in rows} == {1}
+    assert [n for name, n in sent if name == "typed-words"] == [30, 30, 0, 0]
+    assert sum(n for name, n in sent if name == "spelled") == 30
+
+
+def test_a_page_is_parsed_once(spark, capsys):
+    pages = spark.createDataFrame([(1, "<body><div><h3>Jane Doe</h3>\n<p>CEO</p></div></body>", "https://acme.example/team")], "page long, html string, url string")
+    df = page_people.people(pages)
+    assert plan_of(df, capsys).count("MapInArrow") == 0 and len(df.head()["people"]) == 1
+
+
+def test_rows_of_elements_leave_in_small_batches(spark):
+    html_nodes.nodes(spark.createDataFrame([(1, "<p>x")], "page long, html string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(html_nodes._BATCH_BYTES)
