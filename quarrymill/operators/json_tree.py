@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.staging import staged
 
 
@@ -37,10 +38,13 @@ def json_nodes(rows: DataFrame, key: str = "id", json: str = "json") -> DataFram
 
 
 def typed_nodes(nodes: DataFrame, types: str) -> DataFrame:
-    """id, path and fields (name: JSON text) of every object, however deep, whose @type, or one of them, matches the pattern."""
-    kind = nodes.where(r"path like '%.@type' or path rlike '\\.@type\\[[0-9]+\\]$'")
-    kind = kind.where((F.col("kind") == "string") & F.trim("value", F.lit('"')).rlike(types))
-    of = kind.select("id", F.regexp_replace("path", r"\.@type(\[[0-9]+\])?$", "").alias("of")).distinct()
-    own = nodes.where("parent is not null").join(of, (nodes["id"] == of["id"]) & (nodes["parent"] == of["of"]), "left_semi")
-    name = F.expr("substring(path, length(parent) + 2)")
-    return own.groupBy("id", F.col("parent").alias("path")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "value")))).alias("fields"))
+    """id, path and fields (name: JSON text) of every object, however deep, whose @type, or one of them, matches the pattern.
+
+    An object's own text holds its fields, so each is read where it lies and no row leaves its task.
+    """
+    shown = lambda tree: F.coalesce(F.to_json(tree), F.lit("null"))
+    own = F.to_json(F.try_variant_get(F.parse_json("value"), "$['@type']", "variant"))
+    many = lambda kind: F.when(kind.startswith("["), F.transform(F.from_json(kind, "array<variant>"), shown)).otherwise(F.array(kind))
+    fits = F.exists(once(own, many), lambda kind: kind.startswith('"') & F.trim(kind, F.lit('"')).rlike(types))
+    typed = nodes.where((F.col("kind") == "object") & F.col("value").contains('"@type"') & fits)
+    return typed.select("id", "path", F.transform_values(F.from_json("value", "map<string,variant>"), lambda _, tree: shown(tree)).alias("fields"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill import registry
 from quarrymill.functions import intent, small_rules, text
-from quarrymill.operators import html_nodes, page_people, term_search
+from quarrymill.operators import html_nodes, json_tree, page_people, term_search
 from quarrymill.sources import cases, model
 from quarrymill.sources.staging import spread, staged
 
@@ -87,3 +87,10 @@ def test_a_page_is_parsed_once(spark, capsys):
 def test_rows_of_elements_leave_in_small_batches(spark):
     html_nodes.nodes(spark.createDataFrame([(1, "<p>x")], "page long, html string"))
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(html_nodes._BATCH_BYTES)
+
+
+def test_typed_objects_are_read_where_they_lie(spark, capsys):
+    nodes = json_tree.json_nodes(spark.createDataFrame([(1, '{"a":{"@type":["X","Org"],"b.c":[1,null]}}'), (2, '{"@type":7,"n":"Org"}')], "id long, json string"))
+    df = json_tree.typed_nodes(nodes, "^Org$")
+    assert "Exchange" not in plan_of(df, capsys)
+    assert [(r["id"], r["path"], r["fields"]) for r in df.collect()] == [(1, "$.a", {"@type": '["X","Org"]', "b.c": "[1,null]"})]
