@@ -1,109 +1,113 @@
 """Keyed state with event-time timers: follow-ups that fall due or are cancelled by a reply, and caches whose entries expire.
 
 Both decide when a timer goes off, that is when the watermark has passed it, so rows that come out of order, or late but
-before the watermark, count as if they had come in order; later ones are dropped by Spark.  A key's state holds what its open
-timers need and is emptied by them, so it follows the rows of one waiting time, not the length of the stream.
+before the watermark, count as if they had come in order; later ones are dropped by Spark.  Keys share a state by their hash,
+whose rows are held as packed batches and decided together, so what a state costs is not paid for every key and row.  A state
+holds what its open timers need and is emptied by them, so it follows the rows of one waiting time, not the length of the stream.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: States that all keys share; a stream that goes on from a checkpoint needs the number that it began with.
+BUCKETS = 16_384
 
 
-def _ms(column: pd.Series) -> list[int]:
-    return (column.astype("datetime64[us]").astype("int64") // 1000).tolist()
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    """Rows whose last column is a time in milliseconds; without rows the columns fit any type."""
-    frame = pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object if not rows else None) for i, c in enumerate(columns)})
-    frame[columns[-1]] = pd.to_datetime(pd.Series([r[-1] for r in rows], dtype="int64"), unit="ms")
-    return frame
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(packed))).read_pandas()
 
 
 class _Waiting(StatefulProcessor):
-    """Lists of what waits for its time, and one timer a key: for the earliest.  What is over goes when the watermark has passed it."""
+    """Rows of a bucket that wait for their time, and one timer: for the earliest.  What is over goes when the watermark has passed it."""
 
-    lists: dict[str, str] = {}  # name of a list: its schema, whose first field is a time
+    columns: list[str] = []  # of the rows; at is a time in milliseconds
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = {name: handle.getListState(name, schema) for name, schema in self.lists.items()}
+        self.held = handle.getListState("held", "rows binary")
         self.next = handle.getValueState("next", "at long")
 
     def close(self) -> None:
         pass
 
-    def _wait_until(self, at: int | None) -> None:
+    def decided(self, rows: pd.DataFrame, over: pd.Series) -> pd.DataFrame:
+        """What is told of the rows that are over, by all that are held."""
+        raise NotImplementedError
+
+    def _wait_until(self, at: int) -> None:
         """Sets the timer to an earlier time, or after it went off to a new one."""
         now = self.next.get()[0] if self.next.exists() else None
-        if at is None or now is not None and now <= at:
+        if now is not None and now <= at:
             return
         if now is not None:
             self.handle.deleteTimer(now)
         self.handle.registerTimer(at)
         self.next.update((at,))
 
-    def _add(self, rows: dict[str, list[tuple]]) -> None:
-        for name, values in rows.items():
-            if values:
-                self.held[name].appendList(values)
-        times = [r[0] for values in rows.values() for r in values]
-        self._wait_until(min(times) + self.wait_ms if times else None)
-
-    def _take(self, upto: int) -> dict[str, tuple[list[tuple], list[tuple]]]:
-        """Of each list what is over by then and what stays; what stays is kept, and waited for."""
-        out = {}
-        for name, state in self.held.items():
-            rows = sorted(tuple(r) for r in state.get()) if state.exists() else []
-            over, rest = [r for r in rows if r[0] + self.wait_ms <= upto], [r for r in rows if r[0] + self.wait_ms > upto]
-            if over and rest:
-                state.put(rest)
-            elif over:
-                state.clear()
-            out[name] = over, rest
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
+        for batch in rows:
+            self.held.appendValue((_packed(batch[self.columns]),))
+            first.append(int(batch["at"].min()))
+        self._wait_until(min(first) + self.wait_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([_unpacked(packed) for (packed,) in self.held.get()], ignore_index=True)
+        over = rows["at"] + self.wait_ms <= timerValues.getCurrentWatermarkInMs()
+        rest = rows[~over]
         self.next.clear()
-        left = [rest[0][0] for _, rest in out.values() if rest]
-        self._wait_until(min(left) + self.wait_ms if left else None)
-        return out
+        if len(rest):
+            self.held.put([(_packed(rest),)])
+            self._wait_until(int(rest["at"].min()) + self.wait_ms)
+        else:
+            self.held.clear()
+        told = self.decided(rows, over)
+        return iter([told] if len(told) else [])
 
 
-class _FollowUps(_Waiting):
-    """Rows of one person: mail_id (null for a reply) and at."""
+def _run(rows: DataFrame, key: str, time: str, columns: list, late: str, processor: _Waiting, schema: str) -> DataFrame:
+    """The processor over the columns, with the time in milliseconds as at, by buckets of the key; schema: its output."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    timed = rows.withWatermark(time, late).select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), *columns, F.unix_millis(time).alias("at"), F.col(time).alias("event_time"))
+    return timed.groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
-    lists = {"mails": "at long, mail_id long", "replies": "at long"}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = {"mails": [], "replies": []}
-        for batch in rows:
-            for mail, at in zip(batch["mail_id"].tolist(), _ms(batch["at"]), strict=True):
-                if mail is None or pd.isna(mail):
-                    new["replies"].append((at,))
-                else:
-                    new["mails"].append((at, int(mail)))
-        self._add(new)
-        return iter([])
+class _FollowUps(_Waiting):
+    """Rows: person, mail_id, reply (or else a mail) and at."""
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        taken = self._take(timerValues.getCurrentWatermarkInMs())
-        replies = [at for part in taken["replies"] for (at,) in part]
-        out = []
-        for sent, mail in taken["mails"][0]:
-            at = bisect_right(replies, sent)
-            answer = replies[at] if at < len(replies) and replies[at] <= sent + self.wait_ms else None
-            out.append((key[0], mail, "due" if answer is None else "cancelled", sent + self.wait_ms if answer is None else answer))
-        return iter([_frame(out, ["person", "mail_id", "state", "at"])])
+    columns = ["person", "mail_id", "reply", "at"]
+
+    def decided(self, rows: pd.DataFrame, over: pd.Series) -> pd.DataFrame:
+        mails = rows.loc[over & ~rows["reply"], ["person", "mail_id", "at"]].sort_values("at")
+        replies = rows.loc[rows["reply"], ["person", "at"]].sort_values("at")
+        due = mails["at"] + self.wait_ms
+        mails, due = mails.reset_index(drop=True), due.reset_index(drop=True)
+        if len(mails) and len(replies):
+            answer = pd.merge_asof(mails, replies.assign(answer=replies["at"]), on="at", by="person", direction="forward", allow_exact_matches=False)["answer"].astype("Int64")
+        else:
+            answer = pd.Series(pd.NA, index=mails.index, dtype="Int64")
+        answered = (answer <= due).fillna(False).astype(bool)
+        return pd.DataFrame({"person": mails["person"], "mail_id": mails["mail_id"], "state": answered.map({True: "cancelled", False: "due"}), "at": due.where(~answered, answer).astype("int64")})
 
 
 def follow_ups(mails: DataFrame, replies: DataFrame, wait_ms: int, late: str = "10 minutes") -> DataFrame:
@@ -112,26 +116,24 @@ def follow_ups(mails: DataFrame, replies: DataFrame, wait_ms: int, late: str = "
     person, mail_id, state (due, or cancelled if the person replied after the mail and within the wait), at (when it falls due,
     or the first such reply), once the watermark has passed the wait.
     """
-    mails.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    both = mails.select("person", "mail_id", "at").union(replies.select("person", F.lit(None).cast("long"), "at")).where("person is not null and at is not null")
-    rows = both.withWatermark("at", late).groupBy("person")
+    both = mails.select("person", F.col("mail_id").cast("long"), "at").union(replies.select("person", F.lit(None).cast("long"), "at")).where("person is not null and at is not null")
     kind = both.schema["person"].dataType.simpleString()
-    return rows.transformWithStateInPandas(statefulProcessor=_FollowUps(wait_ms), outputStructType=f"person {kind}, mail_id long, state string, at timestamp", outputMode="append", timeMode="EventTime")
+    columns = [F.col("person"), F.coalesce("mail_id", F.lit(0)).alias("mail_id"), F.col("mail_id").isNull().alias("reply")]
+    told = _run(both, "person", "at", columns, late, _FollowUps(wait_ms), f"person {kind}, mail_id long, state string, at long")
+    return told.withColumn("at", F.timestamp_millis("at"))
 
 
 class _Entries(_Waiting):
-    """Rows of one key: entry and at; an entry lives until the next one, or until its time is over."""
+    """Rows: key, entry and at; an entry lives until the next one, or until its time is over."""
 
-    lists = {"entries": "at long, entry long"}
+    columns = ["key", "entry", "at"]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self._add({"entries": [(at, int(entry)) for batch in rows for entry, at in zip(batch["entry"].tolist(), _ms(batch["at"]), strict=True)]})
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over, rest = self._take(timerValues.getCurrentWatermarkInMs())["entries"]
-        out = [(key[0], entry, at + self.wait_ms) for (at, entry), later in zip(over, [*over[1:], *(rest[:1] or [None])], strict=True) if later is None or later[0] > at + self.wait_ms]
-        return iter([_frame(out, ["key", "entry", "expired_at"])])
+    def decided(self, rows: pd.DataFrame, over: pd.Series) -> pd.DataFrame:
+        rows = rows.assign(over=over).sort_values(["key", "at", "entry"], ignore_index=True)
+        last = rows["key"] != rows["key"].shift(-1)
+        ends = rows["at"] + self.wait_ms
+        out = rows["over"] & (last | (rows["at"].shift(-1, fill_value=0) > ends))
+        return pd.DataFrame({"key": rows["key"], "entry": rows["entry"], "expired_at": ends})[out]
 
 
 def expiries(writes: DataFrame, live_ms: int, late: str = "10 minutes") -> DataFrame:
@@ -140,10 +142,10 @@ def expiries(writes: DataFrame, live_ms: int, late: str = "10 minutes") -> DataF
     key, entry, expired_at of each entry that no later write of its key has taken the place of in time; of writes at the same
     time the largest entry counts.
     """
-    writes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     kind = writes.schema["key"].dataType.simpleString()
-    rows = writes.select("key", "entry", "at").where("key is not null and entry is not null and at is not null").withWatermark("at", late).groupBy("key")
-    return rows.transformWithStateInPandas(statefulProcessor=_Entries(live_ms), outputStructType=f"key {kind}, entry long, expired_at timestamp", outputMode="append", timeMode="EventTime")
+    rows = writes.select("key", F.col("entry").cast("long"), "at").where("key is not null and entry is not null and at is not null")
+    told = _run(rows, "key", "at", [F.col("key"), F.col("entry")], late, _Entries(live_ms), f"key {kind}, entry long, expired_at long")
+    return told.withColumn("expired_at", F.timestamp_millis("expired_at"))
 
 
 def new_keys(rows: DataFrame, known: DataFrame, key: list[str], time: str, within: str = "10 minutes") -> DataFrame:

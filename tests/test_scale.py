@@ -1,5 +1,7 @@
 """Plans that must stay small, and work that must be dealt to several tasks, whatever file it comes from."""
 
+import random
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -10,6 +12,7 @@ from quarrymill.functions import intent, small_rules, text
 from quarrymill.operators import html_nodes, json_tree, page_people, term_search
 from quarrymill.sources import cases, model
 from quarrymill.sources.staging import spread, staged
+from quarrymill.streaming import timers
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -94,3 +97,39 @@ def test_typed_objects_are_read_where_they_lie(spark, capsys):
     df = json_tree.typed_nodes(nodes, "^Org$")
     assert "Exchange" not in plan_of(df, capsys)
     assert [(r["id"], r["path"], r["fields"]) for r in df.collect()] == [(1, "$.a", {"@type": '["X","Org"]', "b.c": "[1,null]"})]
+
+
+_MINUTE = 60_000
+_START = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+
+
+def _writes(seed: int) -> list[tuple]:
+    """kind, key, number, minute of three hours; many rows share a minute, few keys many rows."""
+    rng = random.Random(seed)
+    return [(rng.choice("mmr"), f"k{min(rng.randrange(400), rng.randrange(400))}", n, rng.randrange(180)) for n in range(3_000)]
+
+
+def _streamed(spark, place, rows, run):
+    """What run gives of the rows, an hour a file, and how many rows its state holds in the end."""
+    for hour in range(3):
+        part = [(kind, key, n, datetime(2024, 1, 1) + timedelta(minutes=m)) for kind, key, n, m in rows if m // 60 == hour]
+        spark.createDataFrame(part, "kind string, key string, n long, at timestamp").coalesce(1).write.parquet(f"{place}/in/part={hour}")
+    stream = spark.readStream.schema("kind string, key string, n long, at timestamp").parquet(f"{place}/in")
+    query = run(stream).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{place}/out"), query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_entries_share_states(spark, tmp_path, monkeypatch):
+    """A state a key, and a row an entry, cost more than the work on them; what is told is the same however keys are dealt."""
+    monkeypatch.setattr(timers, "BUCKETS", 8, raising=False)
+    rows = _writes(1)
+    told, kept = _streamed(spark, tmp_path, rows, lambda df: timers.expiries(df.select("key", F.col("n").alias("entry"), "at"), 30 * _MINUTE))
+    past, expected = max(m for *_, m in rows) - 10, set()
+    for _, key, n, m in rows:
+        later = [(o, x) for _, k, x, o in rows if k == key and (o, x) > (m, n)]
+        if m + 30 <= past and not (later and min(later)[0] <= m + 30):
+            expected.add((key, n, _START + (m + 30) * _MINUTE))
+    found = [tuple(r) for r in told.select("key", "entry", F.unix_millis("expired_at")).collect()]
+    assert len(found) == len(expected) > 100 and set(found) == expected
+    assert kept <= 8 * 4
