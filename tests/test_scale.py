@@ -133,3 +133,18 @@ def test_entries_share_states(spark, tmp_path, monkeypatch):
     found = [tuple(r) for r in told.select("key", "entry", F.unix_millis("expired_at")).collect()]
     assert len(found) == len(expected) > 100 and set(found) == expected
     assert kept <= 8 * 4
+
+
+def test_follow_ups_share_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "BUCKETS", 8, raising=False)
+    rows = _writes(2)
+    run = lambda df: timers.follow_ups(*[df.where(f"kind = '{k}'").select(F.col("key").alias("person"), F.col("n").alias("mail_id"), "at") for k in "mr"], 30 * _MINUTE)
+    told, kept = _streamed(spark, tmp_path, rows, run)
+    past, expected = max(m for *_, m in rows) - 10, set()
+    for kind, key, n, m in rows:
+        if kind == "m" and m + 30 <= past:
+            answer = min((o for k, x, _, o in rows if k == "r" and x == key and m < o <= m + 30), default=None)
+            expected.add((key, n, "due" if answer is None else "cancelled", _START + (m + 30 if answer is None else answer) * _MINUTE))
+    found = [tuple(r) for r in told.select("person", "mail_id", "state", F.unix_millis("at")).collect()]
+    assert len(found) == len(expected) > 100 and set(found) == expected
+    assert kept <= 8 * 4
