@@ -18,7 +18,7 @@ from ..functions import pages as P
 from ..functions.relevance import plausible_name
 from ..functions.text import domain_of_url, has
 from ..sources.staging import staged
-from .html_nodes import ancestors, attribute, closest, kind, nodes
+from .html_nodes import ancestors, attribute, closest, elements_of, kind, nodes
 
 C = F.col
 # fixed values: classes of people, of teams, of what holds a name, a title or a role, and lines of a card that are no title
@@ -223,12 +223,13 @@ def people(pages: DataFrame) -> DataFrame:
 
 def metadata(pages: DataFrame) -> DataFrame:
     """page, title, description, linkedin, twitter, facebook: the first element of each kind that says it."""
-    tree = nodes(pages)
-    meta, text, href = C("tag") == "meta", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), attribute("href")
-    said = lambda key, value: (meta & (attribute(key) == value), F.trim(attribute("content")))
-    link = lambda host: ((C("tag") == "a") & href.contains(host), href)
-    marks = {"site": said("property", "og:site_name"), "titled": (C("tag") == "title", text), "told": said("name", "description"), "open": said("property", "og:description"), "paragraph": (C("tag") == "p", text), "linkedin": link("linkedin.com/company"), "twitter": link("twitter.com"), "x": link("x.com"), "facebook": link("facebook.com")}
-    first = tree.groupBy("page").agg(*[F.min(F.when(F.coalesce(test, F.lit(False)), F.struct("node", value.alias("value"))))["value"].alias(n) for n, (test, value) in marks.items()])
+    tree = elements_of(pages, ["meta", "title", "p", "a"])
+    tag, named = lambda e, name: e["tag"] == name, lambda e, name: e["attributes"][name]
+    text = lambda e: F.trim(F.regexp_replace(e["text"], r"^\s+|\s+$", ""))
+    said = lambda key, value: (lambda e: tag(e, "meta") & (named(e, key) == value), lambda e: F.trim(named(e, "content")))
+    link = lambda host: (lambda e: tag(e, "a") & named(e, "href").contains(host), lambda e: named(e, "href"))
+    plain = lambda name: (lambda e: tag(e, name), text)
+    marks = {"site": said("property", "og:site_name"), "titled": plain("title"), "told": said("name", "description"), "open": said("property", "og:description"), "paragraph": plain("p"), "linkedin": link("linkedin.com/company"), "twitter": link("twitter.com"), "x": link("x.com"), "facebook": link("facebook.com")}
+    first = tree.select(C("page").cast(pages.schema["page"].dataType), *[value(F.get(F.filter("found", test), F.lit(0))).alias(n) for n, (test, value) in marks.items()])
     some = lambda c: F.nullif(c, F.lit(""))
-    out = first.select("page", F.coalesce(some(C("site")), some(C("titled"))).alias("title"), F.coalesce(some(C("told")), some(C("open")), some(F.substring("paragraph", 1, 280))).alias("description"), "linkedin", F.coalesce("twitter", "x").alias("twitter"), "facebook")
-    return pages.select("page").join(out, "page", "left")
+    return first.select("page", F.coalesce(some(C("site")), some(C("titled"))).alias("title"), F.coalesce(some(C("told")), some(C("open")), some(F.substring("paragraph", 1, 280))).alias("description"), "linkedin", F.coalesce("twitter", "x").alias("twitter"), "facebook")

@@ -148,3 +148,13 @@ def test_follow_ups_share_states(spark, tmp_path, monkeypatch):
     found = [tuple(r) for r in told.select("person", "mail_id", "state", F.unix_millis("at")).collect()]
     assert len(found) == len(expected) > 100 and set(found) == expected
     assert kept <= 8 * 4
+
+
+def test_metadata_is_read_page_by_page(spark, capsys):
+    """No row of an element leaves its task; a page is one row whatever its key, and a null one too."""
+    html = "<title> T </title><meta name=description><meta name=description content=D><p>" + "<b>x</b>" * 6_000 + "<p>y<a href=https://x.com/a>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (None, "<title>N</title>"), (4, "<a>no</a><p> </p><p>z</p>")], "page int, html string")
+    df = page_people.metadata(pages)
+    assert "Exchange" not in plan_of(df, capsys) and df.schema["page"].dataType.simpleString() == "int"
+    told = {r["page"]: (r["title"], r["description"], r["twitter"]) for r in df.collect()}
+    assert told == {1: ("T", "x" * 280, "https://x.com/a"), 2: (None,) * 3, 3: (None,) * 3, None: ("N", None, None), 4: (None,) * 3}
