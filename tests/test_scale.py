@@ -150,6 +150,18 @@ def test_follow_ups_share_states(spark, tmp_path, monkeypatch):
     assert kept <= 8 * 4
 
 
+def test_states_are_fewer_than_people(spark, tmp_path):
+    """As many people as events has at 6 times sf0.1: what a state costs must not be paid for nearly each of them."""
+    rows = spark.range(0, 9_000, 1, 1).select(F.col("id").alias("person"), F.col("id").alias("mail_id"), F.timestamp_seconds(F.lit(_START // 1000)).alias("at"), (F.col("id") % 2 == 0).alias("mail"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("person long, mail_id long, at timestamp, mail boolean").parquet(f"{tmp_path}/in")
+    out = timers.follow_ups(stream.where("mail"), stream.where("not mail"), 30 * _MINUTE)
+    query = out.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = query.recentProgress[0]["stateOperators"][0]["customMetrics"]["numRegisteredTimers"]
+    assert 0 < states <= 9_000 / 2
+
+
 def test_metadata_is_read_page_by_page(spark, capsys):
     """No row of an element leaves its task; a page is one row whatever its key, and a null one too."""
     html = "<title> T </title><meta name=description><meta name=description content=D><p>" + "<b>x</b>" * 6_000 + "<p>y<a href=https://x.com/a>"
