@@ -32,6 +32,8 @@ NO_CARD_TITLES = r"^(view bio|read more|contact)$"
 EMAIL = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 NOBODY = "Team Member"
 HEADINGS = ["h2", "h3", "h4", "h5"]
+#: Rows of pages meet by sorting: their files are so much smaller than they are that the size check would send them whole through the driver.
+BY_SORTING = "merge"
 
 _SAID = "struct<part:int,name:string,title:string>"
 
@@ -127,10 +129,11 @@ def _people_of_candidates(candidates: DataFrame, tree: DataFrame) -> DataFrame:
     beside = below.select("page", C("context").alias("parent"), C("role").alias("beside"))
     contexts = candidates.select("page", "context").where(C("context").isNotNull()).distinct()
     lines = F.filter(F.transform(F.split("around", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    own = tree.select("page", C("node").alias("context"), C("text").alias("around"), "domain").join(contexts, ["page", "context"])
+    own = tree.select("page", C("node").alias("context"), C("text").alias("around"), "domain").join(contexts.hint(BY_SORTING), ["page", "context"])
     mails = F.filter(P.all_of(C("around"), EMAIL), lambda e: F.lower(e).contains(F.coalesce(C("domain"), F.lit(""))) & ~has(e, r"example\.com|sentry|\.png$|\.jpg$"))
     own = own.select("page", "context", _told(F.trim("around")).alias("whole"), F.transform(lines, _told).alias("lines"), mails.alias("written"))
-    df = candidates.drop("domain").join(own, ["page", "context"], "left").join(below.withColumnRenamed("profile", "linked"), ["page", "context"], "left").join(beside, ["page", "parent"], "left")
+    own, below, beside = own.hint(BY_SORTING), below.withColumnRenamed("profile", "linked").hint(BY_SORTING), beside.hint(BY_SORTING)
+    df = candidates.drop("domain").join(own, ["page", "context"], "left").join(below, ["page", "context"], "left").join(beside, ["page", "parent"], "left")
     rule, leads, stated = C("rule"), C("leads"), C("title")
     some = lambda c: F.coalesce(C(c), F.array().cast(f"array<{_TOLD}>"))
     first_name = _first(some("lines"), lambda x: x["named"])
@@ -203,7 +206,7 @@ def tree_of(pages: DataFrame) -> DataFrame:
     told = pages.select("page", P.lists_people(C("url")).alias("leads"), P.tells_news(C("url")).alias("news"), domain_of_url(C("url")).alias("domain"))
     body = F.min(F.when(C("tag") == "body", C("node"))).over(Window.partitionBy("page"))
     tree = nodes(pages).withColumn("is_body", C("node") == F.coalesce(body, F.lit(0)))
-    return staged(tree.join(told, "page"), "page-tree")
+    return staged(tree.join(told.hint(BY_SORTING), "page"), "page-tree")
 
 
 def people(pages: DataFrame) -> DataFrame:
@@ -218,7 +221,7 @@ def people(pages: DataFrame) -> DataFrame:
     ordered = once.groupBy("page").agg(F.array_sort(F.collect_list("p")).alias("people"))
     listed = F.transform("people", lambda p: F.struct(p["name"].alias("name"), p["title"].alias("title"), p["email"].alias("email"), p["profile"].alias("profile")))
     none = F.array().cast("array<struct<name:string,title:string,email:string,profile:string>>")
-    return pages.select("page").join(ordered, "page", "left").select("page", F.coalesce(listed, none).alias("people"))
+    return pages.select("page").join(ordered.hint(BY_SORTING), "page", "left").select("page", F.coalesce(listed, none).alias("people"))
 
 
 def metadata(pages: DataFrame) -> DataFrame:

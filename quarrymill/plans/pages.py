@@ -145,7 +145,7 @@ def _press(df):
     pages = df.select(C("id").alias("page"), "html", F.lit("https://acme.example/news/1").alias("url"))
     found = people.press_people(people.tree_of(pages)).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("rule", "node", "part", "name", "title", "email", "profile"))).alias("people"))
     none = F.array().cast(found.schema["people"].dataType)
-    return {"_df": pages.join(found, "page", "left").withColumnRenamed("page", "id"), "people": P.as_text(F.coalesce("people", none))}
+    return {"_df": pages.join(found.hint(people.BY_SORTING), "page", "left").withColumnRenamed("page", "id"), "people": P.as_text(F.coalesce("people", none))}
 
 
 case_query("HTM8_press_people", {"html": [p[0] for p in _PRESS]}, _press, {"people": [p[1] for p in _PRESS]})

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill import registry
+from quarrymill import plans, registry
 from quarrymill.functions import intent, small_rules, text
 from quarrymill.operators import html_nodes, json_tree, page_people, term_search
 from quarrymill.sources import cases, model
@@ -87,6 +87,27 @@ def test_a_page_is_parsed_once(spark, capsys):
     assert plan_of(df, capsys).count("MapInArrow") == 0 and len(df.head()["people"]) == 1
 
 
+def test_rows_of_pages_do_not_pass_through_the_driver(spark, capsys, monkeypatch):
+    """A written table's rows are many times its file, so a size check that sees the file sends whole tables to all."""
+    told = []
+
+    def watched(df, name):
+        told.append(plan_of(df, capsys))
+        return staged(df, name)
+
+    monkeypatch.setattr(page_people, "staged", watched)
+    pages = staged(spark.createDataFrame([(1, "<body><div><h3>Jane Doe</h3>\n<p>CEO</p></div></body>", "https://acme.example/news/team")], "page long, html string, url string"), "pages")
+    told.append(plan_of(page_people.people(pages), capsys))
+    assert [p.count("Broadcast") for p in told] == [0] * 4
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["HTM5_people_on_page", "HTM5_people_of_companies", "HTM8_press_people"])
+def test_no_query_of_people_sends_pages_to_all(spark, capsys, name):
+    assert plans
+    assert "Broadcast" not in plan_of(registry.QUERIES[name](spark, DATA), capsys)
+
+
 def test_rows_of_elements_leave_in_small_batches(spark):
     html_nodes.nodes(spark.createDataFrame([(1, "<p>x")], "page long, html string"))
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(html_nodes._BATCH_BYTES)
