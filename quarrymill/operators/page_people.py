@@ -187,8 +187,7 @@ def press_people(tree: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<name:string,title:string>>")
     by_line = F.array(F.struct(F.regexp_extract(line, P.NAME_AND_TITLE, 1).alias("name"), F.regexp_extract(line, P.NAME_AND_TITLE, 2).alias("title")))
     said = F.transform(F.arrays_zip(P.all_of(plain, P.SAID, 1).alias("name"), P.all_of(plain, P.SAID, 2).alias("title")), lambda p: F.struct(F.trim(p["name"]).alias("name"), F.regexp_replace(F.trim(p["title"]), r"(?i)\s+(said|noted|added)$", "").alias("title")))
-    whole = F.substring(plain, 1, 12_000)
-    running = F.arrays_zip(P.all_of(whole, P.IN_TEXT, 1).alias("name"), P.all_of(whole, P.IN_TEXT, 2).alias("title"))
+    running = F.arrays_zip(P.all_of(plain, P.IN_TEXT, 1).alias("name"), P.all_of(plain, P.IN_TEXT, 2).alias("title"))
     kind_ = "array<struct<name:string,title:string>>"
     found = F.when(bold, by_line.cast(kind_)).when(C("tag").isin("p", "li"), said.cast(kind_)).when(C("is_body"), running.cast(kind_)).otherwise(empty)
     rank = F.when(bold, 13).when(C("tag").isin("p", "li"), 14).otherwise(15)

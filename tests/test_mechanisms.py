@@ -110,6 +110,13 @@ def test_people_of_no_pages(spark):
     assert [tuple(r) for r in page_people.people(blank).orderBy("page").collect()] == [(1, []), (2, []), (3, [])]
 
 
+def test_people_named_late_in_a_long_text(spark):
+    """Running text is read to its end: a person across its 12,000th character, and one 200,000 behind."""
+    html = f"<body><div>{'some text ' * 1_199}Ann Poe, Managing Director. {'some text ' * 20_000}Bob Roe, CTO left.</div></body>"
+    pages = spark.createDataFrame([(1, html, "https://a.example/news/1")], "page long, html string, url string")
+    assert [(p["name"], p["title"]) for p in page_people.people(pages).head()["people"]] == [("Ann Poe", "Managing Director"), ("Bob Roe", "CTO")]
+
+
 def test_stored_table_keeps_whole_versions(spark, monkeypatch):
     table = StoredTable(spark, new_folder(spark, "stored"), ["k"])
     rows = lambda pairs: spark.createDataFrame(pairs, "k long, v string, seen string")
